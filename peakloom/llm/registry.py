@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import exact_dedup, mixing, sharding
+from peakloom.llm import exact_dedup, mixing, quality_rules, sharding, simhash
 from peakloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,21 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_exact_dedup": op2_exact_dedup, "op3_mix": op3_mix, "op7_shards": op7_shards}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_mix": op3_mix,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_shards": op7_shards,
+    "op8_simhash": op8_simhash,
+}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": """

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,7 +44,7 @@ def slim(batches: Iterable[pa.RecordBatch], column: str, most: int = 16 << 20) -
             yield batch.slice(begin)
 
 
-def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text") -> DataFrame:
     """Run ``kernel`` on Arrow batches of bounded size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,3 +52,10 @@ def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
             yield kernel(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Arrow batches of ``rows`` rows at most to Python, where the session allows more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
