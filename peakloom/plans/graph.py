@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m")).toDF("a", "b")
         small = small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         now = materialize(small, "edges")
