@@ -71,6 +71,7 @@ def mark_digests(hashed: DataFrame, id_col: str = "doc_id", max_words: int = MAX
     single = probed.where(~F.col(LIVE)).drop(LIVE).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     again = probed.where(LIVE).drop(LIVE)
     groups = again.groupBy(F.col("text_sha256").alias(DIGEST)).agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = groups.hint("rebalance")  # an exchange of its own, so that the join of a large group can be split
     dealt = again.join(groups, F.col("text_sha256") == F.col(DIGEST)).drop(DIGEST).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return single.unionByName(dealt)
 
