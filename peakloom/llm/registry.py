@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import exact_dedup, mixing, quality_rules, sharding, simhash
+from peakloom.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, warc
 from peakloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where this machine keeps a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary())
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op4_quality_rules": op4_quality_rules,
     "op7_shards": op7_shards,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
