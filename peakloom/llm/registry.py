@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, substrings, warc
+from peakloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substrings, warc
 from peakloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", exact_dedup.digest("text").alias("text_sha256"))
     marked = exact_dedup.mark_digests(materialize(docs, "digests"))
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op4_quality_rules": op4_quality_rules,
