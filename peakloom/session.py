@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(name: str = "peakloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings that the tests and the benchmark use."""
+_own_dirs: dict[str, str] = {}
+
+
+def local_session(name: str = "peakloom", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+    """A local session with the settings that the tests and the benchmark use; ``conf`` adds to them."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -19,6 +22,7 @@ def local_session(name: str = "peakloom", cores: int | str = "*", shuffle_partit
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf)
         .getOrCreate()
     )
 
@@ -38,8 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = "file://" + tempfile.mkdtemp(prefix="peakloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        run = spark.sparkContext.applicationId
+        if run not in _own_dirs:
+            _own_dirs[run] = "file://" + tempfile.mkdtemp(prefix="peakloom-")
+        base = _own_dirs[run]
     return base.rstrip("/")
 
 

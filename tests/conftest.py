@@ -5,8 +5,8 @@ from peakloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", cores=4, shuffle_partitions=4)
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    session = local_session("tests", cores=4, shuffle_partitions=4, **{"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
