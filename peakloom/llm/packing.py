@@ -9,6 +9,7 @@ but one are full.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -19,34 +20,74 @@ from pyspark.sql import functions as F
 from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.session import materialize
 
-CAPACITY, END_ID, GROUP_SEQUENCES, LINEAR, QUADRATIC, MEMO = 4096, 2, 256, 1.0, 1.0 / 2048, 400_000
+CAPACITY, END_ID, GROUP_SEQUENCES, LINEAR, QUADRATIC, MEMO = 4096, 2, 256, 1.0, 1.0 / 2048, 200_000
+
+
+#: Texts whose words are told apart here just as the tokenizer does: ASCII without other control characters
+#: and Latin letters that have no other normal form and one lower-case letter each.
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
+LETTERS = r"a-z\u00df-\u00f6\u00f8-\u017e"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\x09-\x0d\x200-9{LETTERS}]+")
 
 
 class Encoder:
     """Token ids of whole texts.
 
-    The tokenizer drops white space and never joins characters across it, so the parts between ASCII
-    spaces are encoded one by one and remembered (``memo`` parts at most; then it starts anew).
+    The tokenizer lower-cases, drops white space and merges inside words only, so words are encoded once and
+    remembered (``memo`` at most; then it starts anew). Words of plain texts are told apart here and go
+    through the tokenizer's merges many at a time: a word's last id is one that ends words, which cuts the
+    ids apart again. Other texts are cut at ASCII spaces, and any part that is not plain goes through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of lower-case words."""
+        lines = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        for some, e in zip(lines, self.merger.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.asarray(e.ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("a word did not end where the tokenizer ends words")
+            data, width = ids.tobytes(), ids.itemsize
+            self.words.update(zip(some, (data[a * width : b * width] for a, b in zip([0, *cuts], cuts))))
+
+    def split(self, data: bytes) -> list:
+        """The words of a text: plain ones by name, the ids of other parts as bytes."""
+        text = data.decode("utf-8", "replace")
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        out: list = []
+        for part in (p.decode("utf-8", "replace") for p in data.split()):
+            if "<|" not in part and PLAIN.fullmatch(part):
+                out += WORDS.findall(part.lower())
+            else:
+                out.append(np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes())
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as packed little-endian integers of ``kind``."""
-        parts = [x.split() for x in texts]
-        fresh = list({p for ps in parts for p in ps if p not in self.known})
-        if len(self.known) + len(fresh) > self.memo:
-            self.known.clear()
-            fresh = list({p for ps in parts for p in ps})
-        for begin in range(0, len(fresh), 4096):
-            some = fresh[begin : begin + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.known.update((p, np.asarray(e.ids, self.kind).tobytes()) for p, e in zip(some, found))
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        if len(self.words) > self.memo:
+            self.words.clear()
+        split, known = [self.split(x) for x in texts], self.words
+        found = [list(map(known.get, words)) for words in split]
+        short = [i for i, ids in enumerate(found) if None in ids]
+        self.learn(list({w for i in short for w, ids in zip(split[i], found[i]) if ids is None and type(w) is str}))
+        for i in short:
+            found[i] = [w if type(w) is bytes else known[w] for w in split[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -74,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         counts = pa.array([len(x) // width + 1 for x in ids], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), counts, pa.array([width] * len(ids), pa.int32())], names=["doc_id", "ids", "doc_tokens", "width"])
 
-    return map_rows(rows, kernel, rows.select("doc_id").schema.add("ids", "binary").add("doc_tokens", "long").add("width", "integer"), "__text")
+    return map_rows(rows, kernel, rows.select("doc_id").schema.add("ids", "binary").add("doc_tokens", "long").add("width", "integer"), "__text", 2 << 20)
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:

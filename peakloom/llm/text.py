@@ -44,11 +44,11 @@ def slim(batches: Iterable[pa.RecordBatch], column: str, most: int = 16 << 20) -
             yield batch.slice(begin)
 
 
-def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text", most: int = 16 << 20) -> DataFrame:
     """Run ``kernel`` on Arrow batches of bounded size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slim(batches, text):
+        for batch in slim(batches, text, most):
             yield kernel(batch)
 
     return df.mapInArrow(run, schema)
