@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substrings, warc
+from peakloom.llm import exact_dedup, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substrings, warc
 from peakloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_repeats(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses,
     "op6_repeats": op6_repeats,
     "op7_shards": op7_shards,
     "op8_simhash": op8_simhash,
