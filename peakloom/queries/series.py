@@ -12,11 +12,11 @@ from peakloom.session import table
 
 
 def targets(spark, sf_dir):
-    t = table(spark, sf_dir, "part").where("p_partkey <= 40")
+    t = table(spark, sf_dir, "part")
     return t.select(F.col("p_partkey").alias("target_id"), (F.col("p_retailprice") / 2).alias("target_mz"))
 
 
-TARGETS = "targets AS (SELECT p_partkey AS target_id, p_retailprice / 2 AS target_mz FROM part WHERE p_partkey <= 40)"
+TARGETS = "targets AS (SELECT p_partkey AS target_id, p_retailprice / 2 AS target_mz FROM part)"
 
 
 @query("ag01_slice_eic", """WITH e AS (SELECT run, min(mz) AS start, max(mz) AS stop FROM points WHERE intensity > 0 GROUP BY run),
@@ -34,29 +34,29 @@ def _(spark, sf_dir):
 
 for _name, _how in (("ag04_max_eic", "max"), ("ag05_sum_eic", "sum")):
 
-    @query(_name, f"WITH {TARGETS} SELECT target_id, run, scan, {_how}(intensity) AS intensity FROM points JOIN targets ON abs(mz - target_mz) <= 0.5 GROUP BY ALL", "points")
+    @query(_name, f"WITH {TARGETS} SELECT target_id, run, scan, {_how}(intensity) AS intensity FROM points JOIN targets ON abs(mz - target_mz) <= 2e-2 GROUP BY ALL", "points")
     def _(spark, sf_dir, how=_how):
-        return X.sum_eic(points(spark, sf_dir), targets(spark, sf_dir), 0.5, how)
+        return X.sum_eic(points(spark, sf_dir), targets(spark, sf_dir), 0.02, how)
 
 
 @query("ag06_window_centroid", f"""WITH {TARGETS} SELECT target_id, run, scan, round(sum(mz * intensity) / sum(intensity), 6) AS centroid
-    FROM points JOIN targets ON abs(mz - target_mz) <= 0.5 GROUP BY ALL""", "points")
+    FROM points JOIN targets ON abs(mz - target_mz) <= 2e-2 GROUP BY ALL""", "points")
 def _(spark, sf_dir):
-    out = X.window_centroid(points(spark, sf_dir), targets(spark, sf_dir), 0.5)
+    out = X.window_centroid(points(spark, sf_dir), targets(spark, sf_dir), 0.02)
     return out.select("target_id", "run", "scan", scaled("centroid").alias("centroid"))
 
 
 @query("ag07_base_peak", f"""WITH {TARGETS} SELECT DISTINCT target_id, run, scan, first_value(mz) OVER (PARTITION BY target_id, run, scan ORDER BY intensity DESC, mz) AS base_mz
-    FROM points JOIN targets ON abs(mz - target_mz) <= 0.5""", "points")
+    FROM points JOIN targets ON abs(mz - target_mz) <= 2e-2""", "points")
 def _(spark, sf_dir):
-    return X.window_centroid(points(spark, sf_dir), targets(spark, sf_dir), 0.5).drop("centroid")
+    return X.window_centroid(points(spark, sf_dir), targets(spark, sf_dir), 0.02).drop("centroid")
 
 
 @query("ag08_isotope_ladder", f"""WITH {TARGETS}, f AS (SELECT target_id, run, n, max(intensity) AS height FROM targets CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS n)
-    JOIN points ON abs(mz - (target_mz + n * 1.003355e0)) <= 0.2 GROUP BY ALL)
+    JOIN points ON abs(mz - (target_mz + n * 1.003355e0)) <= 2e-2 GROUP BY ALL)
     SELECT target_id, run, n, height FROM f WHERE (SELECT count(*) FROM f g WHERE g.target_id = f.target_id AND g.run = f.run AND g.n < f.n) = f.n""", "points")
 def _(spark, sf_dir):
-    return X.isotope_ladder(points(spark, sf_dir), targets(spark, sf_dir), 0.2)
+    return X.isotope_ladder(points(spark, sf_dir), targets(spark, sf_dir), 0.02)
 
 
 @query("ag10_grid_chromatogram", """WITH c AS (SELECT run, scan, mz, intensity, CAST(round_even(mz / 0.5e0, 0) AS BIGINT) AS cell FROM points WHERE intensity > 0)
