@@ -29,10 +29,13 @@ def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
 
 def islands(rows: DataFrame, groups: list[str], order: list[str], gap: float, name: str = "island") -> DataFrame:
-    """Number the runs of each group whose neighbours in ``order[0]`` are at most ``gap`` apart, from 0."""
+    """Number the runs of each group whose neighbours in ``order[0]`` are at most ``gap`` apart, from 0.
+
+    Rows that are equal in all of ``order`` are peers and share a run.
+    """
     window = Window.partitionBy(*groups).orderBy(*order)
     jump = (F.col(order[0]) - F.lag(order[0]).over(window) > gap).cast("int")
-    running = F.sum("__jump").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("__jump").over(window)
     return rows.withColumn("__jump", F.coalesce(jump, F.lit(0))).withColumn(name, running).drop("__jump")
 
 

@@ -108,7 +108,7 @@ def _(spark, sf_dir):
 for _name, _gap, _least in (("src05_centroid_profile", 300000.0, 5.0), ("flt10_seed_centroids", 100000.0, 0.0)):
 
     @query(_name, f"""WITH t AS (SELECT spec_id, round(mz * 10000) AS mz, intensity FROM spectra), g AS (SELECT *, CASE WHEN mz - lag(mz) OVER w > {_gap} THEN 1 ELSE 0 END AS jump FROM t WINDOW w AS (PARTITION BY spec_id ORDER BY mz, intensity)),
-        i AS (SELECT *, sum(jump) OVER (PARTITION BY spec_id ORDER BY mz, intensity ROWS UNBOUNDED PRECEDING) AS island FROM g)
+        i AS (SELECT *, sum(jump) OVER (PARTITION BY spec_id ORDER BY mz, intensity) AS island FROM g)
         SELECT spec_id, CAST(island AS BIGINT) AS island, sum(mz * intensity) / sum(intensity) AS mz, max(intensity) AS intensity FROM i GROUP BY spec_id, island HAVING max(intensity) >= {_least}""", "spectra")
     def _(spark, sf_dir, gap=_gap, least=_least):
         exact = spectra(spark, sf_dir).withColumn("mz", F.round(F.col("mz") * 10000))  # whole numbers, so that sums are exact
