@@ -77,3 +77,116 @@ def membership_digests(peaks: DataFrame) -> DataFrame:
 def pivot_samples(peaks: DataFrame, samples: list[str]) -> DataFrame:
     """One row a spot with its greatest height in each sample, 0 where it has none."""
     return peaks.groupBy("spot").agg(*[F.coalesce(F.max(F.when(F.col("sample") == s, F.col("height"))), F.lit(0.0)).alias(f"height_{k}") for k, s in enumerate(samples)])
+
+
+def align_samples(features: DataFrame, reference: str | None = None, mz_tolerance: float = 0.02, rt_tolerance: float = 0.2) -> DataFrame:
+    """Spots across samples: (sample, id, spot, status, holder).
+
+    ``features`` has sample, id, route, mz, rt, height and may have peaks. The sample order is global (the reference
+    first, then by name) and travels as a column; blocks are runs of a route without a gap in m/z above the tolerance,
+    so no box reaches beyond its block. Every feature is seated in a spot or folded into a holder with SAME spectra.
+    """
+    from peakloom.kernels.align import Block
+    from peakloom.operators.kernelled import blocks, map_groups
+
+    names = features.select("sample").distinct()
+    order = names.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sample") != F.lit(reference or ""), "sample")) - 1)
+    rows = blocks(features.join(F.broadcast(order), "sample"), ["route"], mz_tolerance)  # one row a sample
+    spectra = "peaks" in features.columns
+    if spectra:
+        rows = rows.withColumns({"ions": F.transform("peaks", lambda p: p["mz"]), "heights": F.transform("peaks", lambda p: p["intensity"])})
+
+    def kernel(rank, id, mz, rt, height, ions=None, heights=None):
+        found = Block(rank, id, mz, rt, height, ions, heights, mz_tolerance, rt_tolerance).align()
+        return [{"rank": int(rank[i]), "id": int(id[i]), "spot": int(id[s]), "spot_rank": int(rank[s]), "status": status, "holder": int(id[h])} for i, s, status, h in found]
+
+    columns = ["rank", "id", "mz", "rt", "height", *(["ions", "heights"] if spectra else [])]
+    out = map_groups(rows, ["route", "block"], ["mz", "rank", "id"], columns, kernel, "rank long, id long, spot long, spot_rank long, status string, holder long")
+    return out.join(F.broadcast(order), "rank").select("sample", "id", "route", "spot", "spot_rank", "status", "holder")
+
+
+def align_to_reference(features: DataFrame, reference: str, mz_tolerance: float, rt_tolerance: float) -> DataFrame:
+    """(sample, id, match, score): the assignment of greatest total score of each sample's features to the reference's, by m/z block."""
+    from peakloom.kernels.align import align_pair
+    from peakloom.operators.kernelled import blocks, map_groups
+
+    base = features.where(F.col("sample") == reference)
+    others = features.select("sample").distinct().where(F.col("sample") != reference).withColumnRenamed("sample", "target")
+    both = base.crossJoin(F.broadcast(others)).withColumn("side", F.lit(0)).unionByName(features.where(F.col("sample") != reference).withColumn("target", F.col("sample")).withColumn("side", F.lit(1)))  # the reference once for each sample
+
+    def kernel(side, id, mz, rt):
+        a, b = side == 0, side == 1
+        return [{"id": int(id[b][j]), "match": int(id[a][i]), "score": s} for i, j, s in align_pair((mz[a], rt[a]), (mz[b], rt[b]), mz_tolerance, rt_tolerance)]
+
+    rows = blocks(both.select("target", "side", "id", "mz", "rt"), ["target"], 3 * mz_tolerance)
+    return map_groups(rows, ["target", "block"], ["side", "mz", "id"], ["side", "id", "mz", "rt"], kernel, "id long, match long, score double").select(F.col("target").alias("sample"), "id", "match", "score")
+
+
+def reconcile_spots(spots: DataFrame, mz_gate: float, rt_gate: float) -> DataFrame:
+    """(route, spot, merged): complete-link merging of spots whose samples are disjoint, by m/z block.
+
+    ``spots`` has route, spot, mz, rt, weight and samples (array).
+    """
+    from peakloom.kernels.align import reconcile
+    from peakloom.operators.kernelled import blocks, map_groups
+
+    def kernel(id, mz, rt, weight, samples):
+        found = reconcile(mz, rt, weight, [frozenset(s) for s in samples], mz_gate, rt_gate)
+        return [{"spot": int(a), "merged": int(id[m])} for a, m in zip(id, found)]
+
+    rows = blocks(spots.withColumnRenamed("spot", "id"), ["route"], mz_gate)
+    return map_groups(rows, ["route", "block"], ["mz", "id"], ["id", "mz", "rt", "weight", "samples"], kernel, "spot long, merged long").select("route", "spot", "merged")
+
+
+def exclusive_assignment(features: DataFrame, peaks: DataFrame, rt_tolerance: float, weight: float = 0.3) -> DataFrame:
+    """(sample, channel, id, peak): best-first 1:1 assignment of MS1 peaks to features by RT and overlap, per channel.
+
+    Both sides have sample, channel, id, rt, left, right; only candidate pairs meet in a group.
+    """
+    from peakloom.kernels.clusters import exclusive_pairs
+    from peakloom.operators.kernelled import map_groups
+    from peakloom.operators.relations import overlap_ratio
+    from peakloom.plans.bands import band_join
+
+    other = peaks.select(*[F.col(c).alias(f"{c}_p") for c in ("sample", "channel", "id", "rt", "left", "right")])
+    pairs = band_join(features, other, "rt", "rt_p", rt_tolerance, [("sample", "sample_p"), ("channel", "channel_p")])
+    close = 1 - F.abs(F.col("rt") - F.col("rt_p")) / rt_tolerance
+    pairs = pairs.withColumn("score", F.round((1 - weight) * close + weight * overlap_ratio(F.col("left"), F.col("right"), F.col("left_p"), F.col("right_p")), 9))
+
+    def kernel(score, id, id_p):
+        return [{"id": int(id[k]), "peak": int(id_p[k])} for k in exclusive_pairs(score, id, id_p)]
+
+    return map_groups(pairs, ["sample", "channel"], ["id", "id_p"], ["score", "id", "id_p"], kernel, "id long, peak long")
+
+
+def routed_segment(spots: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segment of each spot: by its name, else the first that covers its m/z (low to high + 1)."""
+    named = spots.join(segments.select("segment", F.lit(True).alias("exact")), "segment", "left")
+    ranges = segments.select(F.col("segment").alias("by_range"), F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long") + 1)).alias("cell"), "low", "high")
+    hits = named.where("exact IS NULL").join(ranges, F.floor("mz") == F.col("cell")).where("mz BETWEEN low AND high + 1")
+    first = hits.groupBy("spot").agg(F.min(F.struct("low", "by_range"))["by_range"].alias("by_range"))
+    return named.join(first, "spot", "left").select("spot", F.when(F.col("exact"), F.col("segment")).otherwise(F.col("by_range")).alias("segment"))
+
+
+def reused_fills(fills: DataFrame, natural: DataFrame, mz_tolerance: float) -> DataFrame:
+    """Fills (spot, sample, mz, apex, left, right) that rest on a natural peak of another spot: apexes inside each other's bounds."""
+    from peakloom.plans.bands import band_join
+
+    other = natural.select(*[F.col(c).alias(f"{c}_n") for c in ("spot", "sample", "mz", "apex", "left", "right")])
+    pairs = band_join(fills, other, "mz", "mz_n", mz_tolerance, [("sample", "sample_n")])
+    inside = F.col("apex").between(F.col("left_n"), F.col("right_n")) & F.col("apex_n").between(F.col("left"), F.col("right"))
+    return pairs.where((F.col("spot") != F.col("spot_n")) & inside).select("spot", "sample").distinct()
+
+
+def rematch_notes(notes: DataFrame, features: DataFrame, ppm: float = 5.0, least: float = 0.001, rt_tolerance: float = 0.05) -> DataFrame:
+    """(note, state, id): exact id first, else the only feature within the tolerances (auto), several (ambiguous) or none (orphan)."""
+    from peakloom.plans.bands import band_join
+
+    exact = notes.join(features.select(F.col("id").alias("feature")), "feature", "left_semi")
+    rest = notes.join(exact.select("note"), "note", "left_anti")
+    other = features.select(F.col("id").alias("hit"), F.col("rt").alias("rt_f"), F.col("mz").alias("mz_f"))
+    pairs = band_join(rest, other, "rt", "rt_f", rt_tolerance).where(F.abs(F.col("mz") - F.col("mz_f")) <= F.greatest(F.col("mz") * ppm * 1e-6, F.lit(least)))
+    found = pairs.groupBy("note").agg(F.count("*").alias("n"), F.min("hit").alias("hit"))
+    state = F.when(F.col("n") == 1, "auto").when(F.col("n") > 1, "ambiguous").otherwise("orphan")
+    told = rest.join(found, "note", "left").select("note", state.alias("state"), F.when(F.col("n") == 1, F.col("hit")).alias("id"))
+    return exact.select("note", F.lit("exact").alias("state"), F.col("feature").alias("id")).unionByName(told)

@@ -177,3 +177,33 @@ def pearson_pairs(series: DataFrame, keys: list[str], least: int = 3) -> DataFra
 def coelutes(n: Column, pearson: Column, floor: Column, limit: float = 0.9) -> Column:
     """Enough jointly positive points and a high enough correlation."""
     return (n >= floor) & (pearson >= limit)
+
+
+def shape_scores(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """Sharpness and ideal slope of each peak (``at``, intensity): the apex is the first greatest point.
+
+    Sharpness is the mean over the sides of the steepest drop a scan by the root of the apex; peaks without a side
+    are left out.
+    """
+    own = Window.partitionBy(*keys)
+    top = F.max(F.struct("intensity", (-F.col("at")).alias("back"))).over(own)
+    p = peaks.withColumns({"__top": top, "__step": F.lead("intensity").over(own.orderBy("at")) - F.col("intensity")})
+    p = p.withColumns({"__apex": -F.col("__top.back"), "__height": F.col("__top.intensity")})
+    drop = (F.col("__height") - F.col("intensity")) / F.nullif(F.abs(F.col("at") - F.col("__apex")), F.lit(0)) / F.sqrt("__height")
+    before = F.col("at") < F.col("__apex")
+    towards = F.when(before, F.col("__step")).otherwise(-F.col("__step"))
+    zero = F.lit(0.0)
+    sums = p.withColumns({"__drop": drop, "__towards": towards}).groupBy(*keys).agg(
+        F.max(F.when(before, F.col("__drop"))).alias("l"), F.max(F.when(F.col("at") > F.col("__apex"), F.col("__drop"))).alias("r"),
+        F.sum(F.greatest("__towards", zero)).alias("good"), F.sum(F.greatest(-F.col("__towards"), zero)).alias("bad"),
+    )
+    ideal = F.when(F.col("good") > 0, F.greatest(zero, (F.col("good") - F.col("bad")) / F.col("good"))).otherwise(zero)
+    return sums.where("l IS NOT NULL AND r IS NOT NULL").select(*keys, ((F.col("l") + F.col("r")) / 2).alias("shapeness"), ideal.alias("ideal_slope"))
+
+
+def parabola_apexes(series: DataFrame, column: str = "intensity", keys: list[str] | None = None) -> DataFrame:
+    """Strict maxima with the vertex of the parabola through three points, at most half a scan off."""
+    a, c = tap(column, -1, keys), tap(column, 1, keys)
+    three = series.withColumns({"__a": a, "__c": c}).where((F.col(column) > F.col("__a")) & (F.col(column) > F.col("__c")))
+    shift = (F.col("__a") - F.col("__c")) / (2 * (F.col("__a") - 2 * F.col(column) + F.col("__c")))
+    return three.withColumn("apex", F.col("scan") + F.greatest(F.lit(-0.5), F.least(F.lit(0.5), shift))).drop("__a", "__c")

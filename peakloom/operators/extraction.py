@@ -14,8 +14,8 @@ def densify(sparse: DataFrame, keys: list[str], n_scans: int) -> DataFrame:
     return series.join(sparse, [*keys, "scan"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
 
 
-def slice_eics(points: DataFrame, width: float, keys: list[str]) -> DataFrame:
-    """Summed chromatograms of overlapping m/z slices with the base peak's m/z.
+def slice_eics(points: DataFrame, width: float, keys: list[str], roi: bool = False) -> DataFrame:
+    """Summed chromatograms of overlapping m/z slices with the base peak's m/z; ``roi``: maxima and the centroid instead.
 
     Slice k is centred ``k * width`` above the run's least m/z and takes points up to ``width`` away, both ends
     included. A base peak is the most intense point, on ties the one of lowest m/z.
@@ -26,6 +26,9 @@ def slice_eics(points: DataFrame, width: float, keys: list[str]) -> DataFrame:
     spread = some.join(F.broadcast(start), keys).withColumn("slice", F.explode(F.array(*[near + d for d in (-1, 0, 1, 2)])))
     centre = F.col("start") + F.col("slice") * width
     held = spread.where((F.col("slice") >= 0) & (F.abs(F.col("mz") - centre) <= width) & (centre < F.col("stop") + width / 2))
+    if roi:
+        weighted = F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")
+        return held.groupBy(*keys, "slice", "scan").agg(F.max("intensity").alias("intensity"), weighted.alias("centroid"))
     return held.groupBy(*keys, "slice", "scan").agg(F.sum("intensity").alias("intensity"), F.max_by("mz", F.struct("intensity", -F.col("mz"))).alias("base_mz"))
 
 
