@@ -3,8 +3,9 @@
 Every source has a target in words and a weight schedule over training time 0 to 1, piecewise linear
 between equally spaced knots. A document's place in its source's cumulative demand, divided by the
 target, is inverted through the integral of the schedule; that gives its training position. Rows are
-range-sorted by position. Cumulative demand is a two-level prefix sum over hashed chunks, so that a
-source with a third of all rows is spread over ``chunks`` windows.
+range-sorted by position. Cumulative demand is a two-level prefix sum over chunks of a hashed order, so that
+a source with a third of all rows is spread over many windows. Chunks are leading bits of the hash: their number
+follows the number of rows (``CHUNK_ROWS`` a chunk) and changes no result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.text import word_count
 from peakloom.session import materialize
 
-WEIGHTS, SHARE, CAP, CHUNKS = (3, 1, 2), 1.5, 2, 1024
+WEIGHTS, SHARE, CAP, CHUNK_ROWS = (3, 1, 2), 1.5, 2, 4096
 #: Weight schedules, dealt to the sources in turn: falling, level and rising.
 SCHEDULES = ((1.5, 1.25, 1.0, 0.75, 0.5), (1.0, 1.0, 1.0, 1.0, 1.0), (0.5, 0.75, 1.0, 1.25, 1.5))
 TAKES = "__takes"
@@ -70,16 +71,18 @@ def invert(share_done: Column, rank: Column, schedules: Sequence[Sequence[float]
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
-def plan_mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, schedules: Sequence[Sequence[float]] = SCHEDULES, chunks: int = CHUNKS) -> DataFrame:
+def plan_mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, schedules: Sequence[Sequence[float]] = SCHEDULES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add source_size, target, taken and position to rows that carry their size.
 
-    In each source documents stand in a fixed hashed order (chunk, id, size). The source's demand runs
+    In each source documents stand in a fixed hashed order (hash of id and size, id, size). The source's demand runs
     through that order, and again from its start up to ``cap`` times, until the target is met; ``taken`` is
     the words that it takes of the document, repeats counted: the sum over a source equals the target,
     rounded. Null ids are spread by size. Sources without words have target 0. ``position`` is the training
     time of the first take, null if nothing is taken. Rows equal in id and size are interchangeable.
     """
-    keyed = rows.withColumns({"__source": source_key(source_col), "__chunk": F.pmod(F.xxhash64(F.col(id_col), F.col(size_col)), F.lit(chunks)).cast("int")})
+    bits = max(6, (rows.count() // chunk_rows).bit_length())
+    keyed = rows.withColumns({"__source": source_key(source_col), "__hash": F.xxhash64(F.col(id_col), F.col(size_col))})
+    keyed = keyed.withColumn("__chunk", F.shiftrightunsigned("__hash", 64 - bits))
     sums = keyed.groupBy("__source", "__chunk").agg(F.first(source_col).alias("source"), F.sum(size_col).alias("__words"))
     sums = materialize(sums, "mix-chunks")
     per = targets(sums.groupBy("__source").agg(F.first("source").alias("source"), F.sum("__words").alias("source_size")).drop("__source"), weights, share, cap)
@@ -87,7 +90,8 @@ def plan_mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     before = Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("__source", "__chunk", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__base")).join(per, "__source")
     joined = keyed.join(bases, ["__source", "__chunk"])
-    inside = Window.partitionBy("__source", "__chunk").orderBy(id_col, size_col).rowsBetween(Window.unboundedPreceding, 0)
+    unsigned = F.shiftrightunsigned("__hash", 1)  # the low bit only parts rows that the id then orders
+    inside = Window.partitionBy("__source", "__chunk").orderBy(unsigned, id_col, size_col).rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("__base") + F.sum(size_col).over(inside) - F.col(size_col)
     joined = joined.withColumn("__start", start)
     goal = F.floor(F.col("target") + 0.5).cast("long")
@@ -96,7 +100,7 @@ def plan_mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     time = invert(F.when(F.col("target") > 0, F.col("__start") / F.col("target")), F.col("__rank"), schedules)
     out = joined.withColumns({"taken": taken, "target": F.round("target", 6)})
     out = out.withColumn("position", F.when(F.col("taken") > 0, time))
-    return out.drop("__source", "__chunk", "__base", "__start")
+    return out.drop("__source", "__hash", "__chunk", "__base", "__start")
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
