@@ -190,3 +190,29 @@ def rematch_notes(notes: DataFrame, features: DataFrame, ppm: float = 5.0, least
     state = F.when(F.col("n") == 1, "auto").when(F.col("n") > 1, "ambiguous").otherwise("orphan")
     told = rest.join(found, "note", "left").select("note", state.alias("state"), F.when(F.col("n") == 1, F.col("hit")).alias("id"))
     return exact.select("note", F.lit("exact").alias("state"), F.col("feature").alias("id")).unionByName(told)
+
+
+def alias_edges(left: DataFrame, right: DataFrame, mz_tolerance: float, rt_tolerance: float, ratio: float = 0.8) -> DataFrame:
+    """(a, b): two views of one peak of a sample, close in m/z and RT and alike in height."""
+    from peakloom.plans.bands import band_join
+
+    other = right.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "sample", "mz", "rt", "height")])
+    pairs = band_join(left, other, "mz", "mz_b", mz_tolerance, [("sample", "sample_b")])
+    alike = F.least("height", "height_b") / F.greatest("height", "height_b") >= ratio
+    return pairs.where((F.abs(F.col("rt") - F.col("rt_b")) <= rt_tolerance) & alike).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def covered_rows(product: DataFrame, survey: DataFrame, rt_gate: float, least: float) -> DataFrame:
+    """(id, cover, score): for each product row the survey row at its time whose spectrum is most like its own, the smaller id on ties.
+
+    Both sides have sample, id, rt and peaks; only pairs at the same time and in the same sample are scored.
+    """
+    from peakloom.kernels.similarity import cosine
+    from peakloom.operators.spectra import score_pairs
+    from peakloom.plans.bands import band_join
+
+    other = survey.select(F.col("id").alias("cover"), F.col("sample").alias("sample_c"), F.col("rt").alias("rt_c"), F.col("peaks").alias("peaks_b"))
+    pairs = band_join(product.withColumnRenamed("peaks", "peaks_a"), other, "rt", "rt_c", rt_gate, [("sample", "sample_c")])
+    pairs = pairs.where(F.abs(F.col("rt") - F.col("rt_c")) < rt_gate)
+    scored = score_pairs(pairs, lambda ma, ia, mb, ib: {"score": cosine(ma, ia, mb, ib, 0.02)[0]}, "score double", ["id", "cover"]).where(F.col("score") >= least)
+    return scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("cover")).alias("back"))).alias("x")).select("id", (-F.col("x.back")).alias("cover"), "x.score")
