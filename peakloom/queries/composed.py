@@ -111,7 +111,7 @@ def _(spark, sf_dir):
 
 @query("jn08_boundary_duplicates")
 def _(spark, sf_dir):
-    return stages.boundary_duplicates(candidates(spark, sf_dir), 0.8)
+    return stages.boundary_duplicates(candidates(spark, sf_dir), 0.6)
 
 
 @query("jn17_alias_edges", """SELECT a.id AS a, b.id AS b FROM features a JOIN features b ON a.sample = b.sample AND a.route = 'F' AND b.route = 'O' AND abs(a.mz - b.mz) <= 5e-1 AND abs(a.rt - b.rt) <= 1e0

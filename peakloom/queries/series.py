@@ -170,10 +170,10 @@ def _stencil(weights, column="intensity") -> str:
     return "coalesce(" + " + ".join(f"({w!r}::DOUBLE) * {t}" for w, t in zip(weights, taps)) + ", 0)"
 
 
-@query("wn05_derivatives", f"SELECT channel, scan, round({_stencil(C.FIRST)}, 5) AS d1, round({_stencil(C.SECOND)}, 5) AS d2 FROM chrom {_W3}", "chrom")
+@query("wn05_derivatives", f"SELECT channel, scan, round({_stencil(C.FIRST)}, 9) AS d1, round({_stencil(C.SECOND)}, 9) AS d2 FROM chrom {_W3}", "chrom")
 def _(spark, sf_dir):
     out = C.derivatives(chromatograms(spark, sf_dir), "intensity")
-    return out.select("channel", "scan", (F.round("d1", 5) + 0.0).alias("d1"), (F.round("d2", 5) + 0.0).alias("d2"))
+    return out.select("channel", "scan", (F.round("d1", 9) + 0.0).alias("d1"), (F.round("d2", 9) + 0.0).alias("d2"))
 
 
 @query("wn06_slope_noise", f"""WITH d AS (SELECT channel, abs(intensity - lag(intensity) OVER w) AS back, abs(lead(intensity) OVER w - intensity) AS ahead, abs({_stencil(C.FIRST)}) AS slope, {_stencil(C.SECOND)} AS d2 FROM chrom {_W3}),
