@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.session import materialize
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+def number_rows(rows: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
     """Number all rows from 0 in a total order without a single-partition window.
 
     Rows are range-partitioned by the order; each partition is numbered on its own and starts at the

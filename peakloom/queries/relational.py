@@ -212,7 +212,9 @@ def _(spark, sf_dir):
 @query("flt14_display_filter", "SELECT id, row_number() OVER (ORDER BY route, mz DESC, id) AS place FROM features WHERE route <> 'P' AND contains(lower(sample || ' ' || route), 'urg')", "features")
 def _(spark, sf_dir):
     some = features(spark, sf_dir).where("route != 'P'").where(F.lower(F.concat_ws(" ", "sample", "route")).contains("urg"))
-    return some.select("id", F.row_number().over(Window.orderBy("route", F.desc("mz"), "id")).cast("long").alias("place"))
+    from peakloom.operators.alignment import number_rows
+
+    return number_rows(some, [F.col("route"), F.desc("mz"), F.col("id")]).select("id", (F.col("number") + 1).alias("place"))
 
 
 @query("flt16_rt_window", "SELECT id FROM features WHERE rt BETWEEN 3 AND 20", "features")
