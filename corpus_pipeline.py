@@ -24,11 +24,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the smallest doc_id stays.
+    """Of each class of texts linked by a Jaccard similarity of 0.8 or more the smallest doc_id stays.
 
-    Shingles have five words here; fingerprints link at three bits or fewer.
+    Similarity is that of their sets of five-word shingles; SimHash finds the candidates.
     """
-    return simhash.drop_near_duplicates(docs, size=5)
+    return simhash.drop_similar(docs, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ search descends from the bucket's root, adds up the differences in the bits each
 whole groups once they exceed the radius. A bucket returns a star for each group it has linked, not its
 pairs; the stars are joined to components. Buckets above ``hot`` fingerprints are split by the blocks of
 their remaining bits.
+
+``drop_similar`` is for a similarity instead of a radius. At Jaccard 0.8 blocks that must agree would have three
+bits and a shared node would rule out nothing, so it compares all fingerprints of like size and verifies what is near.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from peakloom.plans.graph import connected_components
 from peakloom.session import materialize
 
 SHINGLE, RADIUS, FANOUT, HOT, BUCKET_ROWS = 3, 3, 8, 4096, 100_000
+#: For ``drop_similar``: the similarity to catch, at which sets differ in 9.7 of 64 bits (deviation 2.9), the radius, rows of a chunk, hashes of a sketch, sets of a chunk to verify.
+LEAST, WIDE, CHUNK, SKETCH, SPLIT = 0.8, 18, 8192, 8, 512
 LOW = np.uint64(0x0101010101010101)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
@@ -216,6 +221,186 @@ def classes(marked: DataFrame, hot: int = HOT) -> DataFrame:
     return marked.join(named, "fp")
 
 
+def shingle_set(data: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; shingles are those of ``fingerprint``."""
+    words = data.lower().split()
+    if len(words) < size:
+        shingles = {b" ".join(words)} if words else set()
+    else:
+        shingles = {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(x, 42) for x in shingles), np.uint64, len(shingles)))
+
+
+def set_digest(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), 43)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Low halves of the least ``SKETCH`` hashes; fewer are filled up with the last."""
+    return h[np.minimum(np.arange(SKETCH), len(h) - 1)].astype(np.uint32).tobytes() if len(h) else bytes(4 * SKETCH)
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, node (digest of the shingle set), fp (SimHash of the set), n (its size) and sketch of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).cast("binary").alias("__text"))
+    bounded_batches(docs.sparkSession)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, fp, n, low = [], [], [], []
+        for text in batch.column("__text").to_pylist():
+            h = shingle_set(text, size)
+            node.append(set_digest(h))
+            fp.append(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
+            n.append(len(h))
+            low.append(sketch(h))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(n, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "node", "fp", "n", "sketch"])
+
+    return map_rows(rows, kernel, rows.select("doc_id").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", "binary"), "__text")
+
+
+def close_stars(fp: np.ndarray, n: np.ndarray, low: np.ndarray, side: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A star (row, centre) for each set of rows that pairs join; a pair is within the radius, its sizes allow the similarity and its sketches meet.
+
+    Where there are two sides, rows are compared with those of the other side only.
+    """
+    order = np.argsort(n, kind="stable")
+    two = side.min() != side.max()
+    left, right = (order[side[order] == 0], order[side[order] == 1]) if two else (order, order)
+    begin = np.searchsorted(n[right], n[left] * least - 1e-6, "left") if two else np.arange(len(left)) + 1
+    end = np.searchsorted(n[right], n[left] / least + 1e-6, "right")
+    far, label = fp[right], np.arange(len(fp))
+    for i in range(0, len(left), 64):
+        rows = np.arange(i, min(i + 64, len(left)))
+        at, to = begin[rows].min(), end[rows].max()
+        if at >= to:
+            continue
+        x, y = np.nonzero(np.bitwise_count(fp[left[rows], None] ^ far[None, at:to]) <= radius)
+        x, y = x + i, y + at
+        fits = (y >= begin[x]) & (y < end[x])
+        a, b = left[x[fits]], right[y[fits]]
+        for k in range(0, len(a), 1 << 14):
+            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            fresh = label[p] != label[q]
+            p, q = p[fresh], q[fresh]
+            meets = (low[p][:, :, None] == low[q][:, None, :]).any((1, 2))
+            if meets.any():
+                label = merge(label, p[meets], q[meets])
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    return joined, label[joined]
+
+
+def similar_stars(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A star (row, centre) for each group of sets that links of Jaccard ``least`` or more join; all pairs not yet joined are compared."""
+    label, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    names, values = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes  # no set is empty
+    for i in range(len(sets) - 1):
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        mine = np.zeros(len(names), np.int64)
+        mine[values[starts[i] : starts[i] + sizes[i]]] = 1
+        shared = np.add.reduceat(mine[values[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        held = np.flatnonzero(shared >= least * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9) + i + 1
+        if len(held):
+            label = merge(label, np.full(len(held), i), held)
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    return joined, label[joined]
+
+
+def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): stars that join the sets which chains of candidate pairs join: pairs within ``radius`` bits that may be as similar as ``least``.
+
+    Sets of that similarity differ in size by 1 / least at most, so they are in one band of sizes or in two
+    neighbouring ones. A band is dealt over chunks; each pair of chunks of the same or neighbouring bands is a cell, and
+    in a cell all pairs are compared. No pair within the radius is left out but by size or by sketches without a hash in common.
+    """
+    base = float(np.log(1 / least + 0.01))
+    banded = prints.where("n > 0").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+    counts = {r["band"]: -(-r["count"] // chunk) for r in banded.groupBy("band").count().collect()}  # some fifty bands
+    if not counts:
+        return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    cells: list[tuple[int, int, int, int]] = []
+    made = 0
+    for band, many in sorted(counts.items()):
+        for i in range(many):
+            for j in range(i, many):
+                cells += [(band, i, made, 0), (band, j, made, 1)] if i != j else [(band, i, made, 0)]
+                made += 1
+            for j in range(counts.get(band + 1, 0)):
+                cells += [(band, i, made, 0), (band + 1, j, made, 1)]
+                made += 1
+    chunks = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
+    placed = banded.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks[F.col("band")]).cast("int"))
+    deal = prints.sparkSession.createDataFrame(cells, "band int, chunk int, cell int, side int")
+    dealt = placed.join(F.broadcast(deal), ["band", "chunk"]).select("cell", "side", "node", "fp", "n", "sketch")
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        low = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        a, b = close_stars(rows.column("fp").to_numpy().view(np.uint64), rows.column("n").to_numpy(), low, rows.column("side").to_numpy(), radius, least)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return dealt.groupBy("cell").applyInArrow(kernel, "a long, b long")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str, size: int, least: float = LEAST, split: int = SPLIT) -> DataFrame:
+    """(a, b): stars over the sets of a group (node, root) that Jaccard links of ``least`` or more join; sets are read from one text of each.
+
+    All pairs of a group are compared, in tasks of two chunks of ``split`` sets where it is larger.
+    """
+    wanted = prints.join(groups, "node").select("node", "root", F.col("least_id").alias("__id"))
+    texts = docs.select(F.col(id_col).alias("__id"), whole(text_col).cast("binary").alias("__text")).join(wanted, "__id").select("node", "root", "__text")
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(x, size) for x in batch.column("__text").to_pylist()]
+        names = np.array([set_digest(h) for h in found], np.uint64).view(np.int64)
+        same = pa.array(names == batch.column("node").to_numpy())  # an id may be that of several texts
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array([h.tobytes() for h in found], pa.binary()), same], names=["node", "root", "hashes", "same"])
+
+    sets = map_rows(texts, read, "node long, root long, hashes binary, same boolean", "__text").where("same").dropDuplicates(["node"])
+    sets = materialize(sets.select("node", "root", "hashes"), "shingle-sets")
+    many = sets.groupBy("root").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("mine")) | (F.col("chunks") == 1))
+    dealt = sets.join(many, "root").withColumn("mine", mine).withColumn("other", F.explode(others))
+    dealt = dealt.select("node", "hashes", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    parts = max(1, -(-sets.count() // split))
+    dealt = dealt.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        node, cell, hashes = rows.column("node").to_numpy(), rows.column("cell").to_numpy(), rows.column("hashes")
+        order = np.argsort(cell, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            x, y = similar_stars([np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in at], least)
+            a.append(node[at[x]])
+            b.append(node[at[y]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt.groupBy("part").applyInArrow(kernel, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE, least: float = LEAST, chunk: int = CHUNK, split: int = SPLIT) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class of texts that links of Jaccard ``least`` or more join.
+
+    SimHash at the wide radius finds candidates, and the shingles of all pairs of a group of
+    candidates decide. Texts of the same
+    shingles, texts without words among them, link; rows with a null id all stay and link nothing.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    marked = materialize(set_prints(named, id_col, text_col, size), "shingle-prints")
+    prints = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-nodes")
+    groups = connected_components(candidates(prints, radius, least, chunk))
+    roots = connected_components(similar_links(named, prints, groups, id_col, text_col, size, least, split))
+    rooted = materialize(prints.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "roots")
+    best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classed = marked.select("doc_id", "node").join(rooted.join(best, "root").select("node", "component_id"), "node")
+    lost = classed.where("doc_id > component_id").select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti").select(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class; rows with a null id all stay."""
     marked = materialize(fingerprints(docs, id_col, text_col, size), "simhash")
