@@ -11,6 +11,7 @@ subwords is remembered.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -22,20 +23,33 @@ from pyspark.sql import functions as F
 from peakloom.llm.text import bounded_batches, map_rows, whole
 
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, THRESHOLD, MEMO, REST = 1 << 17, 16, (3, 4), 6, 0.4, 0.7, 300_000, 40
+#: Grams of a word at a time, and bytes of words to remember.
+SEGMENT, MEMO_BYTES = 1 << 14, 64 << 20
 #: The training sample: so many labelled rows at most, of texts of so many bytes at most.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 64 << 10
 
 
 def features(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Rows of a word: the word itself and the character n-grams of it between brackets."""
-    marked = b"<" + word[:64] + b">"  # grams of a very long word end at 64 bytes; its own row covers all of it
-    text = marked.decode("utf-8", "replace")
+    text = (b"<" + word + b">").decode("utf-8", "replace")
     out = [zlib.crc32(word) % buckets]
     for n in GRAMS:
         out += [zlib.crc32(text[i : i + n].encode(), n) % buckets for i in range(len(text) - n + 1)]
     return out
 
 
+def segments(word: bytes, buckets: int = BUCKETS) -> Iterator[list[int]]:
+    """The rows of ``features`` in lists of bounded length."""
+    if len(word) <= SEGMENT:
+        yield features(word, buckets)
+        return
+    text = (b"<" + word + b">").decode("utf-8", "replace")
+    yield [zlib.crc32(word) % buckets]
+    for n in GRAMS:
+        for begin in range(0, len(text) - n + 1, SEGMENT):
+            yield [zlib.crc32(text[i : i + n].encode(), n) % buckets for i in range(begin, min(begin + SEGMENT, len(text) - n + 1))]
+
+
 def ditto_row(buckets: int = BUCKETS) -> int:
     """The row of a pair of equal neighbours."""
     return zlib.crc32(b"\x00ditto") % buckets
@@ -52,6 +66,7 @@ class Model:
         self.known: dict[bytes, int] = {}
         self.sums: list[float] = []
         self.counts: list[int] = []
+        self.held = 0  # bytes of the known words
 
     def __getstate__(self) -> dict:
         return {"weight": self.weight, "bias": self.bias}
@@ -63,15 +78,19 @@ class Model:
     def score(self, text: bytes) -> float:
         """Probability of label 1; a text without words has that of the bias alone."""
         words = text.split()
-        if len(self.known) > MEMO:
+        if len(self.known) > MEMO or self.held > MEMO_BYTES:
             self.__post_init__()
         known = self.known
         for w in words:
             if w not in known:
-                rows = features(w, len(self.weight))
+                total, count = 0.0, 0
+                for rows in segments(w, len(self.weight)):
+                    total += float(self.weight[rows].sum())
+                    count += len(rows)
                 known[w] = len(self.sums)
-                self.sums.append(float(self.weight[rows].sum()))
-                self.counts.append(len(rows))
+                self.held += len(w)
+                self.sums.append(total)
+                self.counts.append(count)
         z = self.bias
         if words:
             at = [known[w] for w in words]
@@ -94,12 +113,15 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EP
         ids: list[int] = []
         words = text.split()
         for w in words:
+            if len(w) > 64:  # not remembered: its rows take many times its bytes
+                ids += features(w, buckets)
+                continue
             if w not in rows_of:
                 rows_of[w] = features(w, buckets)
             ids += rows_of[w]
         ids += [ditto_row(buckets)] * sum(map(eq, words, words[1:]))
         found, counts = np.unique(np.asarray(ids, np.int64), return_counts=True)
-        docs.append((found, (counts / (counts.sum() + REST)).astype(np.float32)))
+        docs.append((found.astype(np.int32), (counts / (counts.sum() + REST)).astype(np.float32)))
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.log(np.array([1 - prior, prior])).astype(np.float32)
     balance = np.array([0.5 / (1 - prior), 0.5 / prior], np.float32)
