@@ -119,6 +119,7 @@ PROSE = (
 STOP = frozenset("a above all along an and any any are as at be by can for form forms from has have http https if in into is it its may must no not of on one only or other part should that the their this to under was were with without www you your file list one received shall use used".split())
 UNKNOWN, BUCKETS, LEAST_OVERLAP = "unknown", 1024, 0.6
 FAMILIES = (UNKNOWN, *sorted(TEMPLATES))
+NUMBER = r"[0-9]+(?:\.[0-9]+)*"
 
 
 def normal_words(paragraph: str) -> list[str]:
@@ -159,11 +160,11 @@ class Model:
 
 
 def trie_pattern(words: list[str]) -> str:
-    """A pattern of alternatives that share their first letters."""
+    """A pattern of alternatives that share their first letters; 0 stands for any number."""
     heads: dict[str, list[str]] = {}
     for w in filter(None, words):
         heads.setdefault(w[0], []).append(w[1:])
-    parts = [re.escape(c) + trie_pattern(rest) for c, rest in sorted(heads.items())]
+    parts = [(NUMBER if c == "0" else re.escape(c)) + trie_pattern(rest) for c, rest in sorted(heads.items())]
     return "" if not parts else "(?:" + "|".join(parts) + ")" + "?" * ("" in words)
 
 
