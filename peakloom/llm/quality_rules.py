@@ -19,6 +19,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 SPACES, SYMBOLS, WINDOW = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"), tuple(bytes([c]) for c in b"#*$%&|<>"), 8
 #: A host goes when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: Bounds of the prior's weight in rows.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e9
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -79,7 +81,7 @@ def base_failed() -> Column:
 
 
 def rule_failed() -> Column:
-    """Any rule: the base rules, over 10 % symbols, over 30 % repeated lines by words, or odd word lengths."""
+    """Any rule: the base rules, over 10 % symbols, a repeated line for each 20 words, or words of under 2 or over 15 characters in the mean."""
     chars, words = F.col("word_chars"), F.col("n_words")
     return base_failed() | (F.col("n_symbols") * 10 > chars) | (F.col("n_dup_lines") * 20 > words) | (chars < words * 2) | (chars > words * 15)
 
@@ -87,19 +89,19 @@ def rule_failed() -> Column:
 def host_verdicts(measured: DataFrame, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: __host, host_rows, host_failures, host_rate (shrunk) and host_ok.
 
-    Rows without a host form no host. With fewer than two hosts, or no spread beyond that of chance, the
-    common rate stands for each.
+    Rows without a host form no host. The prior is the beta distribution that has the mean and the spread of the hosts' rates, each
+    host counting once, after the spread that chance alone gives them is taken off. Its weight is in rows: where the hosts
+    agree as far as chance allows it is ``MOST_WEIGHT``, and the common rate stands for each; where they differ more than any beta
+    distribution can, as when each is all good or all bad, it is ``LEAST_WEIGHT``, and each has its own rate.
     """
     hosts = measured.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("__host"))
     hosts = hosts.agg(F.count("*").alias("host_rows"), F.count_if(rule_failed()).alias("host_failures"))
     hosts = materialize(hosts, "hosts").withColumn("rate", F.col("host_failures") / F.col("host_rows"))
-    total = hosts.agg(
-        (F.sum("host_failures") / F.sum("host_rows")).alias("mean"), F.avg("rate").alias("centre"), F.var_pop("rate").alias("spread"),
-        F.avg(F.lit(1.0) / F.col("host_rows")).alias("inverse"),
-    )
+    total = hosts.agg(F.avg("rate").alias("mean"), F.var_pop("rate").alias("spread"), F.avg(F.lit(1.0) / F.col("host_rows")).alias("inverse"))
     noise = F.col("mean") * (1 - F.col("mean"))
-    excess = F.greatest(F.col("spread") - noise * F.col("inverse"), F.lit(0.0))
-    weight = F.when((excess > 0) & (noise > excess), noise / excess - 1).otherwise(F.lit(1e9))
+    # The variance of rates beyond that of counts; null where every host has one row.
+    excess = F.try_divide(F.col("spread") - noise * F.col("inverse"), 1 - F.col("inverse"))
+    weight = F.when((noise > 0) & (excess > 0), F.greatest(F.least(noise / excess - 1, F.lit(MOST_WEIGHT)), F.lit(LEAST_WEIGHT))).otherwise(F.lit(MOST_WEIGHT))
     prior = materialize(total.select("mean", weight.alias("weight")), "host-prior")
     mean, weight = prior.select("mean").scalar(), prior.select("weight").scalar()
     rate = (F.col("host_failures") + mean * weight) / (F.col("host_rows") + weight)
@@ -130,11 +132,15 @@ def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def passing_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its own columns (whatever their names)."""
+    """The rows of ``docs`` that are kept, with its own columns (whatever their names).
+
+    Texts are measured once: rows are written with their measures, and read again with the hosts' verdicts. Null and
+    empty texts fail, null hosts are not rejected, repeated rows are judged alike and an empty table gives an empty one.
+    """
     own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns])
     host, text = own[host_col], own[text_col]
-    hosts = host_verdicts(measure(renamed.select(host, text), text), host, max_rate).where("NOT host_ok").select("__host")
-    kept = measure(renamed, text).where(~base_failed())
-    kept = kept.join(hosts, F.col(host) == F.col("__host"), "left_anti")
+    judged = materialize(measure(renamed, text), "measured")
+    hosts = host_verdicts(judged, host, max_rate).where("NOT host_ok").select("__host")
+    kept = judged.where(~base_failed()).join(hosts, F.col(host) == F.col("__host"), "left_anti")
     return kept.select(*[F.col(v).alias(k) for k, v in own.items()])
