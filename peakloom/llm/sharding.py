@@ -9,11 +9,12 @@ of the shard's slots before it, so no task holds a whole shard.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.text import whole
-from peakloom.session import materialize
+from peakloom.session import materialize, scratch
 
 SLOTS = 8192
 
@@ -74,6 +75,20 @@ def save_map(slot_map: DataFrame, path: str) -> None:
     slot_map.write.mode("append").partitionBy("version").parquet(path)
 
 
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A version of a stored map (the last by default); None where nothing is stored."""
+    try:
+        stored = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = stored.agg(F.max("version")).first()[0] if version is None else version
+    if last is None or not stored.where(F.col("version") == last).limit(1).count():
+        return None
+    return stored.where(F.col("version") == last)
+
+
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and gapless place of each record under a map.
 
@@ -92,14 +107,19 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_co
     Returns doc_id, size, text_crc32, law, shard, slot (gapless from 0 within the shard), grown_shard
     (null: this law moves rows between old shards too), virtual_slot and map_version. Null texts have size
     8, null ids hash like any value together with the text's CRC, repeated rows get a place each. An empty
-    table gives no rows. Other columns of ``docs`` are not read. The map is stored under ``map_path`` if given.
+    table gives no rows. Other columns of ``docs`` are not read. The map is stored under ``map_path`` (by default in the shared
+    folder) and records are placed by what is read back. Where a map is stored there already, it is edited to the
+    sizes of these records, and stored as its next version.
     """
+    path = map_path or scratch(docs.sparkSession, "slot-map")
     rows = materialize(records(docs, id_col, text_col, slots), "shard-records")
-    slot_map = materialize(rebalance(slot_bytes(rows), shards), "slot-map")
-    if map_path:
-        save_map(slot_map, map_path)
-    placed = place(rows, slot_map)
+    current = load_map(docs.sparkSession, path)
+    version = 0 if current is None else current.agg(F.max("version")).first()[0] + 1
+    made = materialize(rebalance(slot_bytes(rows), shards, current, version), "slot-map")
+    save_map(made, path)
+    stored = load_map(docs.sparkSession, path, version)
+    placed = place(rows, made if stored is None else stored)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(0).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
     )
