@@ -3,7 +3,8 @@
 Each archive starts with a skippable Zstandard frame that holds a dictionary built from the archive's own
 records; every record follows as a frame of its own. Of records with equal payloads the one with the
 smallest id is a response; the others are revisits that name it and carry no payload. Payloads are
-compared by digest: only ids and digests shuffle.
+compared by two digests and their length. Ids and digests shuffle; of the payloads only those that a bounded Bloom filter
+takes for revisits.
 """
 
 from __future__ import annotations
@@ -11,18 +12,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.exact_dedup import possibly
 from peakloom.llm.text import bounded_batches, whole
 from peakloom.session import materialize, scratch
 
-SKIPPABLE, FRAME, DICT_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 0x184D2A5D, 0xFD2FB528, 32 << 10, 2 << 20, 16 << 20, 3
+SKIPPABLE, DICT_BYTES, ARCHIVE_BYTES, LEVEL = 0x184D2A5D, 32 << 10, 16 << 20, 3
+#: The dictionary is trained on pieces of so many bytes, evenly spaced over all records of the archive, of so many bytes together.
+PIECE, SAMPLE_BYTES = 2048, 2 << 20
+#: Tasks that read archives, at most.
+TASKS = 20_000
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -55,16 +62,26 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, payload_
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def build_dictionary(records: list[bytes], most: int = DICT_BYTES) -> bytes:
-    """A dictionary trained on the records; their first bytes serve where there are too few to train on."""
-    samples, held = [], 0
+def sample_pieces(records: list[bytes], piece: int = PIECE, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """Pieces evenly spaced over the records, taken as one string of bytes; all of it where it is no more than ``most``."""
+    total = sum(map(len, records))
+    if total <= most:
+        return [r[i : i + piece] for r in records for i in range(0, len(r), piece)]
+    stride = -(-total * piece // most)
+    out, at = [], 0  # at: where the next piece begins, from the start of this record
     for r in records:
-        if held > SAMPLE_BYTES:
-            break
-        samples.append(r[: 64 << 10])  # training looks at the start of a record; the record itself is archived whole
-        held += len(samples[-1])
+        while at < len(r):
+            out.append(r[at : at + piece])
+            at += stride
+        at -= len(r)
+    return out
+
+
+def build_dictionary(records: list[bytes], most: int = DICT_BYTES) -> bytes:
+    """A dictionary trained on pieces of the records; the pieces themselves serve where there are too few to train on."""
+    samples = sample_pieces(records)
     try:
-        return zstandard.train_dictionary(min(most, max(1024, held // 8)), samples).as_bytes()
+        return zstandard.train_dictionary(min(most, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:most]
 
@@ -82,12 +99,16 @@ def iterate_archive(data: bytes) -> Iterator[bytes]:
     if magic != SKIPPABLE:
         raise ValueError("the archive has no dictionary frame")
     context = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
-    rest = memoryview(data)[8 + size :]
-    while len(rest):
-        one = context.decompressobj()
-        record = one.decompress(rest)
-        yield record
-        rest = rest[len(rest) - len(one.unused_data) :]
+    rest, at = memoryview(data), 8 + size
+    while at < len(rest):
+        one, parts = context.decompressobj(), []
+        while not one.eof:  # in steps, as what is left of a step is copied
+            step = rest[at : at + (1 << 14)]
+            if not len(step):
+                raise ValueError("the archive ends inside a record")
+            parts.append(one.decompress(step))
+            at += len(step) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -98,26 +119,45 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def _put(folder: str, name: str, data: bytes) -> str:
-    """Write a file whole: to a name of its own first, then renamed, so that a retried task does no harm."""
+def store_of(path: str) -> tuple:
+    """The file system of a path and the path in it; Hadoop's names of object stores are those of the stores."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    path = re.sub(r"^(s3)[an]://", r"\1://", path)
+    return fs.FileSystem.from_uri(path if "://" in path else path if path.startswith("file:") else "file://" + path)
+
+
+def _put(folder: str, name: str, data: bytes) -> str:
+    """Write a file whole: to a name of its own first, then renamed, so that a retried task does no harm."""
+    store, at = store_of(folder)
     store.create_dir(at, recursive=True)
     temporary = f"{at}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    with store.open_output_stream(temporary) as out:
+    with store.open_output_stream(temporary, compression=None) as out:
         out.write(data)
     store.move(temporary, f"{at}/{name}")
     return f"{folder}/{name}"
 
 
+def _get(path: str) -> bytes:
+    store, at = store_of(path)
+    with store.open_input_stream(at, compression=None) as source:
+        return source.read()
+
+
 def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses) of each row."""
+    """page_id, url, payload and refers_to (null for responses) of each row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(html_col).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    ids = rows.select("page_id", "sha1").join(first.hint("rebalance"), "sha1").where("page_id > first").select("page_id", "sha1", F.col("first").alias("refers_to")).distinct()
-    return rows.join(ids, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "refers_to")
+    narrow = rows.select("page_id", F.sha1("payload").alias("sha1"), F.xxhash64("payload").alias("xxh"), F.octet_length("payload").alias("bytes"))
+    narrow = materialize(narrow, "payload-digests")
+    digests = ["sha1", "xxh", "bytes"]
+    first = narrow.groupBy(*digests).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(*digests, "first")
+    ids = narrow.join(first.hint("rebalance"), digests).where("page_id > first").select("page_id", "xxh", "bytes", F.col("first").alias("refers_to")).distinct()
+    ids = materialize(ids.withColumnsRenamed({"page_id": "again", "xxh": "again_xxh", "bytes": "again_bytes"}), "revisits")
+    probed = possibly(rows.withColumn("xxh", F.xxhash64("payload")), ids, "xxh", "again_xxh")
+    straight = probed.where("NOT maybe").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    same = (F.col("page_id") == F.col("again")) & (F.col("xxh") == F.col("again_xxh")) & (F.octet_length("payload") == F.col("again_bytes"))
+    found = probed.where("maybe").join(ids, same, "left").select("page_id", "url", "payload", "refers_to")
+    return straight.unionByName(found)
 
 
 def write_archives(resolved: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -150,25 +190,23 @@ def write_archives(resolved: DataFrame, folder: str, archive_bytes: int = ARCHIV
     return materialize(resolved.mapInArrow(run, "path string, records long"), "archives")
 
 
-def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each archived record.
+def read_archives(archives: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record of the archives (column path).
 
     Lengths and digests of responses are computed from the payloads read; those of revisits come from
-    their headers.
+    their headers. The list of archives is a table; each task opens those that are dealt to it.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    bounded_batches(spark, 500)
+    bounded_batches(archives.sparkSession, 500)
 
     def number(urn: str | None) -> int | None:
         return None if urn is None or urn.endswith(":none>") else int(urn.rpartition(":")[2][:-1])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
+            for path in batch.column("path").to_pylist():
                 rows = []
-                for record in iterate_archive(batch.column("content")[i].as_py()):
+                for record in iterate_archive(_get(path)):
                     head, payload = parse_record(record)
                     told = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response":
@@ -181,7 +219,8 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, schema)
+    tasks = max(1, min(archives.count(), TASKS))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -190,6 +229,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     A null html is an empty payload; empty payloads are deduplicated like others. Rows with
     a null id are responses and never referred to; rows that repeat the smallest id are all responses. An empty table writes no archive. Other columns are not read.
     """
-    spark = pages.sparkSession
-    written = write_archives(resolve(pages, id_col, url_col, html_col), folder or scratch(spark, "warc"))
-    return read_archives(spark, [r.path for r in written.select("path").collect()])  # one path for each 16 MB archived
+    folder = folder or scratch(pages.sparkSession, "warc")
+    return read_archives(write_archives(resolve(pages, id_col, url_col, html_col), folder))
