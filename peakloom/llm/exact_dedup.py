@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.text import ascii_lower
 
-MAX_WORDS = 1 << 20
+MAX_WORDS, FILTER_WORDS = 1 << 20, 1 << 18
 WORD, MASK, DIGEST, KEEP, SIZE, LIVE = "__bloom_word", "__bloom_mask", "__digest", "__keep", "__size", "__live"
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -47,6 +47,18 @@ def repeated_bits(cells: DataFrame) -> DataFrame:
     return seen.select(WORD, bits.alias("__bits")).where("__bits != 0")
 
 
+def possibly(rows: DataFrame, some: DataFrame, row_key: str, some_key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """Add ``maybe``: whether ``row_key`` of a row may be among ``some_key`` of ``some``, by a Bloom filter of ``words`` words at most.
+
+    The filter is broadcast: 16 bytes a word. Beyond its capacity more rows are maybes, and the result of what follows stays the same.
+    """
+    word, mask = bloom_cell(F.col(some_key), words)
+    bits = some.select(word.alias(WORD), mask.alias(MASK)).groupBy(WORD).agg(F.bit_or(MASK).alias("__bits"))
+    word, mask = bloom_cell(F.col(row_key), words)
+    probed = rows.withColumns({WORD: word, MASK: mask}).join(F.broadcast(bits), WORD, "left")
+    return probed.withColumn("maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col(MASK)) == F.col(MASK), F.lit(False))).drop(WORD, MASK, "__bits")
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """Add ``text_sha256``, ``keep_id``, ``group_size`` and ``kept`` to every row.
 

@@ -8,25 +8,31 @@ whole groups once they exceed the radius. A bucket returns a star for each group
 pairs; the stars are joined to components. Buckets above ``hot`` fingerprints are split by the blocks of
 their remaining bits.
 
-``drop_similar`` is for a similarity instead of a radius. At Jaccard 0.8 blocks that must agree would have three
-bits and a shared node would rule out nothing, so it compares all fingerprints of like size and verifies what is near.
+``drop_similar`` is for a similarity instead of a radius. At Jaccard 0.8 about ten of 64 bits differ, so blocks that must
+agree would have three bits. There the buckets are the least hashes of the shingle sets instead, of which two sets that
+similar share one but for about 3 pairs in a million; the index searches each bucket at a wide radius, and shingle sets decide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.exact_dedup import possibly
 from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.plans.graph import connected_components
 from peakloom.session import materialize
 
 SHINGLE, RADIUS, FANOUT, HOT, BUCKET_ROWS = 3, 3, 8, 4096, 100_000
-#: For ``drop_similar``: the similarity to catch, at which sets differ in 9.7 of 64 bits (deviation 2.9), the radius, rows of a chunk, hashes of a sketch, sets of a chunk to verify.
-LEAST, WIDE, CHUNK, SKETCH, SPLIT = 0.8, 18, 8192, 8, 512
+#: For ``drop_similar``: the similarity to catch, at which sets differ in 9.7 of 64 bits (deviation 2.9), and the radius; hashes of a sketch,
+#: those of them that name buckets, and the share of a sketch that candidates have in common (0.85 is usual at the least similarity, deviation
+#: 0.09); sets of a chunk to verify.
+LEAST, WIDE, SKETCH, KEYS, SHARED, SPLIT = 0.8, 22, 16, 8, 0.4, 512
 LOW = np.uint64(0x0101010101010101)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
@@ -72,7 +78,7 @@ class GrayIndex:
     """
 
     def __init__(self, bucket: np.ndarray, value: np.ndarray, fanout: int = FANOUT) -> None:
-        order = np.lexsort((gray_rank(value), bucket))
+        self.order = order = np.lexsort((gray_rank(value), bucket))
         self.value, group = value[order], bucket[order]
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         n = len(value)
@@ -122,6 +128,24 @@ class GrayIndex:
         return q[later], node[later]
 
 
+    def link(self, radius: int, largest: int, test: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """The smallest leaf of the group of each leaf; pairs within the radius that pass ``test`` join groups."""
+        label = np.arange(len(self.value))
+        step = 8192 if largest <= 64 else 512
+        for begin in range(0, len(label), step):
+            a, b = self.near(np.arange(begin, min(begin + step, len(label))), radius, label)
+            for i in range(0, len(a), 1 << 16) if test else [0] if len(a) else []:
+                p, q = (a[i : i + (1 << 16)], b[i : i + (1 << 16)]) if test else (a, b)
+                if test:
+                    fresh = label[p] != label[q]
+                    p, q = p[fresh], q[fresh]
+                    held = test(self.order[p], self.order[q])
+                    p, q = p[held], q[held]
+                if len(p):
+                    label = merge(label, p, q)
+        return label
+
+
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining each a with its b: the smallest index of each group."""
     while True:
@@ -145,26 +169,23 @@ def link_buckets(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS) ->
     if not len(value):
         return value, value
     index = GrayIndex(bucket, value)
-    label = np.arange(len(value))
-    step = 8192 if counts.max() <= 64 else 512
-    for begin in range(0, len(value), step):
-        a, b = index.near(np.arange(begin, min(begin + step, len(value))), radius, label)
-        if len(a):
-            label = merge(label, a, b)
+    label = index.link(radius, int(counts.max()))
     linked = label != np.arange(len(label))
     return index.value[linked], index.value[label[linked]]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; a null text has no words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).cast("binary").alias("__text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, named: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row, and ``text_name`` if named; a null text has no words."""
+    names = [text_name(text_col).alias("text_name")] if named else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *names, whole(text_col).cast("binary").alias("__text"))
     bounded_batches(docs.sparkSession)
+    kept = [c for c in rows.columns if c != "__text"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(x, size) for x in batch.column("__text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found.view(np.int64))], names=[*kept, "fp"])
 
-    schema = rows.select("doc_id").schema.add("fp", "long")
+    schema = rows.select(*kept).schema.add("fp", "long")
     return map_rows(rows, kernel, schema, "__text")
 
 
@@ -237,13 +258,20 @@ def set_digest(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Low halves of the least ``SKETCH`` hashes; fewer are filled up with the last."""
-    return h[np.minimum(np.arange(SKETCH), len(h) - 1)].astype(np.uint32).tobytes() if len(h) else bytes(4 * SKETCH)
+    """The least ``SKETCH`` hashes of a set, fewer where it has fewer."""
+    return h[:SKETCH].tobytes()
+
+
+def in_common(low: np.ndarray, many: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes the sketches of each a and b share; ``many`` of each row of ``low`` count."""
+    both = np.concatenate([low[a], low[b]], 1)
+    both.sort(1)
+    return (both[:, 1:] == both[:, :-1]).sum(1) - np.maximum(0, SKETCH - many[a] - 1) - np.maximum(0, SKETCH - many[b] - 1) - ((many[a] < SKETCH) & (many[b] < SKETCH))
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, node (digest of the shingle set), fp (SimHash of the set), n (its size) and sketch of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).cast("binary").alias("__text"))
+    """doc_id, text_name, node (digest of the shingle set), fp (SimHash of the set), n (its size) and sketch of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_name(text_col).alias("text_name"), whole(text_col).cast("binary").alias("__text"))
     bounded_batches(docs.sparkSession)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,45 +283,19 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             n.append(len(h))
             low.append(sketch(h))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(n, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "node", "fp", "n", "sketch"])
-
-    return map_rows(rows, kernel, rows.select("doc_id").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", "binary"), "__text")
-
+        columns = [batch.column("doc_id"), batch.column("text_name"), *longs, pa.array(n, pa.int64()), pa.array(low, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_name", "node", "fp", "n", "sketch"])
 
-def close_stars(fp: np.ndarray, n: np.ndarray, low: np.ndarray, side: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A star (row, centre) for each set of rows that pairs join; a pair is within the radius, its sizes allow the similarity and its sketches meet.
-
-    Where there are two sides, rows are compared with those of the other side only.
-    """
-    order = np.argsort(n, kind="stable")
-    two = side.min() != side.max()
-    left, right = (order[side[order] == 0], order[side[order] == 1]) if two else (order, order)
-    begin = np.searchsorted(n[right], n[left] * least - 1e-6, "left") if two else np.arange(len(left)) + 1
-    end = np.searchsorted(n[right], n[left] / least + 1e-6, "right")
-    far, label = fp[right], np.arange(len(fp))
-    for i in range(0, len(left), 64):
-        rows = np.arange(i, min(i + 64, len(left)))
-        at, to = begin[rows].min(), end[rows].max()
-        if at >= to:
-            continue
-        x, y = np.nonzero(np.bitwise_count(fp[left[rows], None] ^ far[None, at:to]) <= radius)
-        x, y = x + i, y + at
-        fits = (y >= begin[x]) & (y < end[x])
-        a, b = left[x[fits]], right[y[fits]]
-        for k in range(0, len(a), 1 << 14):
-            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-            fresh = label[p] != label[q]
-            p, q = p[fresh], q[fresh]
-            meets = (low[p][:, :, None] == low[q][:, None, :]).any((1, 2))
-            if meets.any():
-                label = merge(label, p[meets], q[meets])
-    joined = np.flatnonzero(label != np.arange(len(label)))
-    return joined, label[joined]
+    schema = rows.select("doc_id", "text_name").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", "binary")
+    return map_rows(rows, kernel, schema, "__text")
 
 
-def similar_stars(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_stars(sets: list[np.ndarray], least: float, joined_before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A star (row, centre) for each group of sets that links of Jaccard ``least`` or more join; all pairs not yet joined are compared."""
     label, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    if joined_before is not None:
+        _, first, at = np.unique(joined_before, return_index=True, return_inverse=True)
+        label = first[at]
     names, values = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes  # no set is empty
     for i in range(len(sets) - 1):
@@ -309,49 +311,119 @@ def similar_stars(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
     return joined, label[joined]
 
 
-def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): stars that join the sets which chains of candidate pairs join: pairs within ``radius`` bits that may be as similar as ``least``.
+def bucket_stars(keys: DataFrame, prints: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b): stars of the sets that candidate pairs join in the buckets (key, node).
 
-    Sets of that similarity differ in size by 1 / least at most, so they are in one band of sizes or in two
-    neighbouring ones. A band is dealt over chunks; each pair of chunks of the same or neighbouring bands is a cell, and
-    in a cell all pairs are compared. No pair within the radius is left out but by size or by sketches without a hash in common.
+    A pair of candidates shares a bucket, is within ``radius`` bits, may be as similar as ``least`` by its sizes, and has ``SHARED`` of the
+    smaller sketch in common.
     """
-    base = float(np.log(1 / least + 0.01))
-    banded = prints.where("n > 0").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
-    counts = {r["band"]: -(-r["count"] // chunk) for r in banded.groupBy("band").count().collect()}  # some fifty bands
-    if not counts:
-        return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    cells: list[tuple[int, int, int, int]] = []
-    made = 0
-    for band, many in sorted(counts.items()):
-        for i in range(many):
-            for j in range(i, many):
-                cells += [(band, i, made, 0), (band, j, made, 1)] if i != j else [(band, i, made, 0)]
-                made += 1
-            for j in range(counts.get(band + 1, 0)):
-                cells += [(band, i, made, 0), (band + 1, j, made, 1)]
-                made += 1
-    chunks = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
-    placed = banded.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks[F.col("band")]).cast("int"))
-    deal = prints.sparkSession.createDataFrame(cells, "band int, chunk int, cell int, side int")
-    dealt = placed.join(F.broadcast(deal), ["band", "chunk"]).select("cell", "side", "node", "fp", "n", "sketch")
+    keys = materialize(keys, "sketch-keys")
+    parts = max(1, -(-keys.count() // BUCKET_ROWS))
+    dealt = keys.join(prints, "node").withColumn("part", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(parts)).cast("int"))
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        _, bucket, counts = np.unique(rows.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        at = np.flatnonzero(counts[bucket] > 1)
+        if not len(at):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        rows, bucket = rows.take(at), bucket[at]
+        node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        many = np.minimum(n, SKETCH)
+        low = np.full((len(n), SKETCH), np.uint64(0xFFFFFFFFFFFFFFFF))
+        low[np.arange(SKETCH) < many[:, None]] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64)
+
+        def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            held = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
+            held[held] = in_common(low, many, a[held], b[held]) >= SHARED * np.minimum(many[a[held]], many[b[held]])
+            return held
+
+        index = GrayIndex(bucket, rows.column("fp").to_numpy().view(np.uint64))
+        label = index.link(radius, int(counts.max()), test)
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[index.order[joined]], "b": node[index.order[label[joined]]]})
+
+    return dealt.select("part", "key", "node", "fp", "n", "sketch").groupBy("part").applyInArrow(kernel, "a long, b long")
+
+
+def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, hot: int = HOT) -> DataFrame:
+    """(a, b): stars of the sets that chains of candidate pairs join.
+
+    Every set is in the buckets of its ``KEYS`` least hashes. A hash that more than ``hot`` sets share is dealt in three steps. Its sets are
+    linked inside chunks of about ``hot``; then one set of each class of the chunks stands for it, so that a large group of near
+    copies is one class by now. Hashes whose sets are still of several classes, such as those of a passage that unlike texts
+    share, are taken in pairs: two sets of the similarity that share no other key share two of them. Pairs that are
+    hot too are dealt over chunks, and all pairs of chunks are buckets: no link is lost to a bucket's size, and only there comparisons
+    grow with the square of it.
+    """
+    some = prints.where("n > 0").select("node", "fp", "n", "sketch")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(KEYS - 1)), lambda i: F.substring(F.col("sketch"), i * 8 + 1, F.lit(8)))
+    rows = some.select("node", F.explode(F.filter(slots, lambda x: F.octet_length(x) > 0)).alias("h")).select("node", F.xxhash64("h").alias("key"))
+    busy = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
+    busy = materialize(busy, "busy-keys")
+    if not busy.limit(1).count():
+        return bucket_stars(rows, some, radius, least)
+    marked = rows.join(busy, "key", "left")
+    stars = materialize(bucket_stars(marked.where("chunks IS NULL").select("key", "node"), some, radius, least), "calm-stars")
+    crowd = materialize(marked.where("chunks IS NOT NULL").select("key", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int").alias("chunk")), "busy-rows")
+    stars = materialize(stars.unionByName(bucket_stars(crowd.select(F.xxhash64("key", "chunk").alias("key"), "node"), some, radius, least)), "chunk-stars")
+
+    def classed(links: DataFrame) -> DataFrame:
+        return crowd.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+
+    heads = classed(stars).groupBy("key", "label").agg(F.min("node").alias("node"))
+    heads = heads.join(heads.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("chunks")), "key")
+    heads = heads.select(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks"))).alias("key"), "node")
+    stars = materialize(stars.unionByName(bucket_stars(heads, some, radius, least)), "head-stars")
+    sorted_out = materialize(classed(stars), "busy-classes")
+    several = sorted_out.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("key")
+    own = sorted_out.join(several, "key").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own"))  # KEYS at most
+    pairs = F.flatten(F.transform("own", lambda g, i: F.transform(F.slice("own", i + 2, KEYS), lambda h: F.xxhash64(g, h))))
+    pairs = own.select("node", F.explode(pairs).alias("key"))
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
+    pairs = pairs.join(sizes.hint("rebalance"), "key").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("mine")) | (F.col("chunks") == 1))
+    dealt = pairs.withColumn("other", F.explode(others))
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
+    return stars.unionByName(bucket_stars(dealt, some, radius, least))
+
+
+def cell_stars(dealt: DataFrame, split: int, parts: int, least: float) -> DataFrame:
+    """(a, b): stars over the sets of each cell (columns cell, node, label, hashes); sets of one label are joined already."""
+    spread = dealt.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
 
     def kernel(rows: pa.Table) -> pa.Table:
-        node = rows.column("node").to_numpy()
-        low = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
-        a, b = close_stars(rows.column("fp").to_numpy().view(np.uint64), rows.column("n").to_numpy(), low, rows.column("side").to_numpy(), radius, least)
-        return pa.table({"a": node[a], "b": node[b]})
+        node, cell, label, hashes = (rows.column(c) for c in ("node", "cell", "label", "hashes"))
+        node, cell, label = node.to_numpy(), cell.to_numpy(), label.to_numpy()
+        order = np.argsort(cell, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            x, y = similar_stars([np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in at], least, label[at])
+            a.append(node[at[x]])
+            b.append(node[at[y]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.groupBy("cell").applyInArrow(kernel, "a long, b long")
+    return spread.select("part", "cell", "node", "label", "hashes").groupBy("part").applyInArrow(kernel, "a long, b long")
+
+
+def chunk_pairs(sets: DataFrame, split: int) -> DataFrame:
+    """Sets (node, root, label, hashes) dealt to the pairs of chunks of their group."""
+    many = sets.groupBy("root").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("mine")) | (F.col("chunks") == 1))
+    dealt = sets.join(many, "root").withColumn("mine", mine).withColumn("other", F.explode(others))
+    return dealt.select("node", "label", "hashes", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str, size: int, least: float = LEAST, split: int = SPLIT) -> DataFrame:
     """(a, b): stars over the sets of a group (node, root) that Jaccard links of ``least`` or more join; sets are read from one text of each.
 
-    All pairs of a group are compared, in tasks of two chunks of ``split`` sets where it is larger.
+    Groups of up to ``split`` sets are compared in one task. Larger ones are first joined inside chunks, then by one set of each class so found; only
+    where a group then still has several classes, all pairs of its chunks are compared, but for sets of one class. Texts
+    shuffle only where a bounded Bloom filter says that they take part.
     """
-    wanted = prints.join(groups, "node").select("node", "root", F.col("least_id").alias("__id"))
-    texts = docs.select(F.col(id_col).alias("__id"), whole(text_col).cast("binary").alias("__text")).join(wanted, "__id").select("node", "root", "__text")
+    wanted = materialize(prints.join(groups, "node").select("node", "root", F.col("least_id").alias("__id")), "similar-members")
+    texts = docs.select(F.col(id_col).alias("__id"), whole(text_col).cast("binary").alias("__text"))
+    texts = possibly(texts, wanted, "__id", "__id").where("maybe").join(wanted, "__id").select("node", "root", "__text")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(x, size) for x in batch.column("__text").to_pylist()]
@@ -361,48 +433,64 @@ def similar_links(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col:
 
     sets = map_rows(texts, read, "node long, root long, hashes binary, same boolean", "__text").where("same").dropDuplicates(["node"])
     sets = materialize(sets.select("node", "root", "hashes"), "shingle-sets")
-    many = sets.groupBy("root").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("mine")) | (F.col("chunks") == 1))
-    dealt = sets.join(many, "root").withColumn("mine", mine).withColumn("other", F.explode(others))
-    dealt = dealt.select("node", "hashes", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     parts = max(1, -(-sets.count() // split))
-    dealt = dealt.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
+    many = sets.groupBy("root").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
+    own = sets.join(many, "root").withColumn("cell", F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks"))))
+    stars = materialize(cell_stars(own.withColumn("label", F.col("node")), split, parts, least), "chunk-stars")
+    large = materialize(many.where("chunks > 1").select("root"), "large-groups")
+    if not large.limit(1).count():
+        return stars
+    hard = materialize(sets.join(large, "root"), "large-sets")
 
-    def kernel(rows: pa.Table) -> pa.Table:
-        node, cell, hashes = rows.column("node").to_numpy(), rows.column("cell").to_numpy(), rows.column("hashes")
-        order = np.argsort(cell, kind="stable")
-        a, b = [], []
-        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            x, y = similar_stars([np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in at], least)
-            a.append(node[at[x]])
-            b.append(node[at[y]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    def classed(links: DataFrame) -> DataFrame:
+        return hard.join(connected_components(links).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    return dealt.groupBy("part").applyInArrow(kernel, "a long, b long")
+    heads = classed(stars).where("label = node")
+    stars = materialize(stars.unionByName(cell_stars(chunk_pairs(heads, split), split, parts, least)), "head-stars")
+    sorted_out = materialize(classed(stars), "large-classes")
+    several = sorted_out.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("root")
+    rest = sorted_out.join(several, "root")
+    return stars.unionByName(cell_stars(chunk_pairs(rest, split), split, parts, least))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE, least: float = LEAST, chunk: int = CHUNK, split: int = SPLIT) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE, least: float = LEAST, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class of texts that links of Jaccard ``least`` or more join.
 
-    SimHash at the wide radius finds candidates, and the shingles of all pairs of a group of
-    candidates decide. Texts of the same
-    shingles, texts without words among them, link; rows with a null id all stay and link nothing.
+    SimHash at the wide radius finds candidates in buckets of shared least hashes, and the shingles of the pairs of a group of
+    candidates decide. Texts of the same shingles, texts without words among them, link; rows with a null id all stay and link nothing.
+    Rows that repeat an id with another text are judged by their own text, and rows that repeat id and text stay or go together.
+    Null texts are empty; an empty table gives an empty one; the columns are those of ``docs``.
     """
     named = docs.where(F.col(id_col).isNotNull())
     marked = materialize(set_prints(named, id_col, text_col, size), "shingle-prints")
     prints = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-nodes")
-    groups = connected_components(candidates(prints, radius, least, chunk))
+    groups = connected_components(candidates(prints, radius, least, hot))
     roots = connected_components(similar_links(named, prints, groups, id_col, text_col, size, least, split))
     rooted = materialize(prints.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "roots")
     best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classed = marked.select("doc_id", "node").join(rooted.join(best, "root").select("node", "component_id"), "node")
-    lost = classed.where("doc_id > component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti").select(*docs.columns)
+    classed = marked.select("doc_id", "node", "text_name").join(rooted.join(best, "root").select("node", "component_id"), "node")
+    return without(docs, classed.where("doc_id > component_id").select("doc_id", "text_name"), id_col, text_col)
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text (by hash) are not among the lost ones; texts shuffle only where a Bloom filter says they may be."""
+    lost = materialize(lost.select(F.col("doc_id").alias("__lost"), F.col("text_name").alias("__lost_text")).distinct(), "lost")
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]).withColumn("__name", text_name(own[text_col]))
+    probed = possibly(rows, lost, "__name", "__lost_text")
+    kept = probed.where("maybe").join(lost, (F.col(own[id_col]) == F.col("__lost")) & (F.col("__name") == F.col("__lost_text")), "left_anti")
+    return probed.where("NOT maybe").unionByName(kept).select(*[F.col(v).alias(k) for k, v in own.items()])
+
+
+def text_name(text_col: str) -> Column:
+    """A 64-bit name of a text; with an id it tells rows apart."""
+    return F.xxhash64(whole(text_col).cast("binary"), F.lit(17))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class; rows with a null id all stay."""
-    marked = materialize(fingerprints(docs, id_col, text_col, size), "simhash")
-    lost = classes(marked, hot).where("doc_id > component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with the smallest id of each class of ``near_duplicates``.
+
+    Rows with a null id all stay. Rows that repeat an id with another text are judged by their own fingerprint.
+    """
+    marked = materialize(fingerprints(docs, id_col, text_col, size, named=True), "simhash")
+    return without(docs, classes(marked, hot).where("doc_id > component_id").select("doc_id", "text_name"), id_col, text_col)

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.exact_dedup import MASK, WORD, bloom_cell
+from peakloom.llm.exact_dedup import possibly
 from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.session import materialize
 
-WIDTH, GRAM, CLASS, FILTER_WORDS, SEGMENT = 400, 128, 32, 1 << 18, 1 << 22
+WIDTH, GRAM, CLASS, SEGMENT = 400, 128, 32, 1 << 22
 TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -101,14 +101,6 @@ def block_table(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_rows(long_ones, kernel, "k1 long, k2 long, core long, slice long, lo int, hi int, at int")
 
 
-def possibly(rows: DataFrame, some: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
-    """Add ``maybe``: whether the row's key may be in ``some``, by a Bloom filter of ``words`` words at most."""
-    word, mask = bloom_cell(F.col("k1"), words)
-    bits = some.select(word.alias(WORD), mask.alias(MASK)).groupBy(WORD).agg(F.bit_or(MASK).alias("__bits"))
-    probed = rows.withColumns({WORD: word, MASK: mask}).join(F.broadcast(bits), WORD, "left")  # words * 16 bytes at most
-    return probed.withColumn("maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col(MASK)) == F.col(MASK), F.lit(False))).drop(WORD, MASK, "__bits")
-
-
 def split_classes(text: bytes, ranges: list[dict], width: int = WIDTH) -> list[tuple]:
     """(core, cls, head, tail, first, last, base, open) of each class of windows in the ranges of a text.
 
@@ -128,7 +120,7 @@ def split_classes(text: bytes, ranges: list[dict], width: int = WIDTH) -> list[t
 def class_table(rows: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pass 3's rows for the ranges (k1, k2, core, lo, hi, at, open) of documents."""
     lists = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "lo", "hi", "at", "open")).alias("ranges"))
-    texts = possibly(rows, ranges.select("k1")).where("maybe").select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    texts = possibly(rows, ranges, "k1", "k1").where("maybe").select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,7 +187,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     runs = repeated_windows(rows, width).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     runs = materialize(runs, "window-runs")
-    probed = possibly(rows, runs.select("k1"))
+    probed = possibly(rows, runs, "k1", "k1")
     none = F.lit(None).cast("array<struct<begin:int,end:int>>")
     straight = probed.where("NOT maybe").select("doc_id", none.alias("spans"), F.col("text").alias("kept_text"), F.octet_length("text").alias("n_bytes"))
     bounded_batches(docs.sparkSession)

@@ -345,3 +345,38 @@ def test_quality_classifier_odd(spark, odd):
     alone = quality_classifier.classify(odd, labels.limit(0)).select("score").distinct().collect()
     assert len(alone) == 1
     assert quality_classifier.classify(odd.limit(0), labels).count() == 0
+
+
+def test_stored_map_is_edited(spark, real, tmp_path):
+    path = f"file://{tmp_path}/map"
+    first = {r.virtual_slot: r.shard for r in sharding.shard_documents(real, 4, 256, map_path=path).collect()}
+    again = sharding.shard_documents(real.where("doc_id % 5 != 0"), 4, 256, map_path=path).collect()
+    assert {r.map_version for r in again} == {1} and sharding.load_map(spark, path).agg(F.max("version")).first()[0] == 1
+    moved = {r.virtual_slot for r in again if first[r.virtual_slot] != r.shard}
+    assert len(moved) < 0.4 * len(first)
+
+
+def test_polarised_hosts(spark):
+    rows = [(f"{h}{k}", 50, 50) for h in ("bad",) for k in range(5)] + [(f"good{k}", 50, 0) for k in range(5)] + [("large", 3000, 0)]
+    made = spark.createDataFrame(rows, "host string, n int, fails int").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    fails = F.col("i") <= F.col("fails")
+    measured = made.select("host", F.when(fails, 5).otherwise(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"), *[F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")])
+    found = {r["__host"]: r for r in quality_rules.host_verdicts(measured.withColumn("word_chars", F.col("n_words") * 5), "host").collect()}
+    assert all(found[f"bad{k}"].host_rate > 0.9 and not found[f"bad{k}"].host_ok for k in range(5))
+    assert all(r.host_ok and r.host_rate < 0.1 for h, r in found.items() if not h.startswith("bad"))
+    one = measured.withColumn("host", F.monotonically_increasing_id().cast("string"))
+    assert quality_rules.host_verdicts(one, "host").where("host_rate IS NULL").count() == 0
+
+
+def test_repeated_id_with_another_text_stays(spark):
+    a, b = words(80, 21), words(80, 22)
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b + " x"), (9, b + " x")], "doc_id long, text string")
+    for keep in (simhash.drop_near_duplicates(docs), simhash.drop_similar(docs)):
+        assert rows_of(keep, "doc_id", "text") == sorted([(3, a), (7, b)], key=repr)
+
+
+def test_archive_sample_reaches_every_part():
+    records = [bytes([65 + i % 26]) * 40_000 for i in range(200)]
+    pieces = warc.sample_pieces(records)
+    assert sum(map(len, pieces)) <= warc.SAMPLE_BYTES + warc.PIECE and {p[:1] for p in pieces} == {bytes([65 + k]) for k in range(26)}
+    assert b"".join(warc.sample_pieces([b"abc", b"", b"de"])) == b"abcde"

@@ -44,14 +44,14 @@ def planted():
     return rows + [(1000, ""), (1001, " \n"), (1002, "one two"), (1003, "One two"), (1004, "two one")]
 
 
-@pytest.mark.parametrize("chunk", [7, 8192])
-def test_pipeline_stage_catches_jaccard(spark, chunk):
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_pipeline_stage_catches_jaccard(spark, hot):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = survivors(rows)
     sets = [(shingles(a[1]), shingles(b[1])) for a, b in zip(rows[:60:2], rows[1:60:2])]
     assert sum(jaccard(*p) >= 0.8 for p in sets) >= 15 and sum(jaccard(*p) < 0.8 for p in sets) >= 5
-    assert sorted(x.doc_id for x in simhash.drop_similar(docs, chunk=chunk, split=1 if chunk == 7 else 512).collect()) == want
+    assert sorted(x.doc_id for x in simhash.drop_similar(docs, hot=hot, split=1 if hot == 2 else 512).collect()) == want
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
     assert simhash.drop_similar(docs.limit(0)).count() == 0
 
@@ -68,5 +68,5 @@ def test_large_group_makes_few_rows(spark):
     rows = [(i, " ".join([*words[:180], *(f"{w}{i}" for w in words[180:188])])) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     prints = simhash.set_prints(docs, "doc_id", "text", 5)
-    assert simhash.candidates(prints, chunk=64).count() < 20 * len(rows)
+    assert simhash.candidates(prints, hot=64).count() < 20 * len(rows)
     assert [x.doc_id for x in simhash.drop_similar(docs, split=64).collect()] == [0]
