@@ -3,8 +3,8 @@
 Texts become token ids; whole sequences are cut off long documents and what is left of each document is
 dealt by hash to groups of about ``group_sequences`` sequences. In a group the pieces go in descending
 order to the sequence of lowest estimated attention cost (linear plus quadratic in the piece's length)
-that has room; pieces that fit nowhere are cut into the room that is left. So all sequences of a group
-but one are full.
+that has room; pieces that fit nowhere are cut into the room that is left. A group opens the fewest sequences
+that can hold its tokens, so less than one sequence of padding is spread over all of a group.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.session import materialize
 
 CAPACITY, END_ID, GROUP_SEQUENCES, LINEAR, QUADRATIC, MEMO = 4096, 2, 256, 1.0, 1.0 / 2048, 200_000
+#: Rows equal in id and text are dealt over so many groups.
+SALTS = 64
 
 
 #: Texts whose words are told apart here just as the tokenizer does: ASCII without other control characters
@@ -54,40 +56,49 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Remember the ids of lower-case words."""
+        """Remember the ids of lower-case words; lines whose ids can't be cut apart are encoded word by word."""
         lines = [new[i : i + 1000] for i in range(0, len(new), 1000)]
         for some, e in zip(lines, self.merger.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.asarray(e.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(some):
-                raise ValueError("a word did not end where the tokenizer ends words")
+                self.words.update((w, self.direct(w)) for w in some)
+                continue
             data, width = ids.tobytes(), ids.itemsize
             self.words.update(zip(some, (data[a * width : b * width] for a, b in zip([0, *cuts], cuts))))
 
-    def split(self, data: bytes) -> list:
-        """The words of a text: plain ones by name, the ids of other parts as bytes."""
+    def direct(self, part: str) -> bytes:
+        """The ids of a part of a text by the whole tokenizer."""
+        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def split(self, data: bytes) -> tuple[list[str], bool]:
+        """The parts of a text and whether all of them are plain words; others are cut at ASCII spaces."""
         text = data.decode("utf-8", "replace")
         if "<|" not in text and PLAIN.fullmatch(text):
-            return WORDS.findall(text.lower())
-        out: list = []
-        for part in (p.decode("utf-8", "replace") for p in data.split()):
+            return WORDS.findall(text.lower()), True
+        return [p.decode("utf-8", "replace") for p in data.split()], False
+
+    def mixed(self, parts: list[str]) -> bytes:
+        """The ids of parts of which some are not plain."""
+        out: list[bytes] = []
+        for part in parts:
             if "<|" not in part and PLAIN.fullmatch(part):
-                out += WORDS.findall(part.lower())
+                words = WORDS.findall(part.lower())
+                self.learn([w for w in dict.fromkeys(words) if w not in self.words])
+                out += map(self.words.__getitem__, words)
             else:
-                out.append(np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes())
-        return out
+                out.append(self.direct(part))
+        return b"".join(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as packed little-endian integers of ``kind``."""
         if len(self.words) > self.memo:
             self.words.clear()
-        split, known = [self.split(x) for x in texts], self.words
-        found = [list(map(known.get, words)) for words in split]
-        short = [i for i, ids in enumerate(found) if None in ids]
-        self.learn(list({w for i in short for w, ids in zip(split[i], found[i]) if ids is None and type(w) is str}))
-        for i in short:
-            found[i] = [w if type(w) is bytes else known[w] for w in split[i]]
-        return [b"".join(ids) for ids in found]
+        split = [self.split(x) for x in texts]
+        fresh = set().union(*(parts for parts, plain in split if plain)).difference(self.words)
+        self.learn(list(fresh))
+        known = self.words.__getitem__
+        return [b"".join(map(known, parts)) if plain else self.mixed(parts) for parts, plain in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -199,7 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     rows = materialize(tokenize(docs, tokenizer, id_col, text_col), "token-ids")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
     groups = max(1, round(total / (capacity * group_sequences)))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))  # of the written table, so a task that is run again deals alike
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids", salt), F.lit(groups)))
     schema = rows.select("doc_id").schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
         schema = schema.add(name, "long")
