@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.session import materialize
+from peakloom.session import materialize, release
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m")).toDF("a", "b")
         small = small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        release(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
