@@ -1,22 +1,29 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes.
 
 Only the first ``width`` bytes of a suffix matter, so suffixes are split by most-significant-digit passes and
-a suffix leaves as soon as it is alone; groups that are left after the last pass are the repeated windows.
+a suffix leaves as soon as it is alone; groups that are left after the last pass are the repeated windows. Equality does not
+depend on the order in which a window's bytes are looked at, and here the first digit is not its first bytes but its anchor: so the
+first pass moves one row for a run of windows instead of one for each byte.
 
 Pass 1. The digit of a window is its least hashed gram of ``GRAM`` bytes (leftmost on ties). Equal windows
-agree in it and in its place, so neighbouring windows with one such anchor travel as one block.
+agree in it and in its place, so neighbouring windows with one such anchor travel as one block. Equal blocks of one text
+are folded at once: all their windows are repeated, and one block goes on for them.
 Pass 2. In groups whose blocks are not all equal, the digit is the whole block: windows of equal blocks are
 repeated. One block of each kind goes on; it stands for all windows of its kind.
 Pass 3. The digit is the part that the windows of a class (``CLASS`` neighbouring offsets from the anchor) share.
 Pass 4. The digit is the rest of each window, taken literally.
 
-Every pass counts digits with a partial aggregation before it shuffles, and hands the counts back through
+Digits longer than a few bytes are compared by hashes: blocks by the anchor's 64 bits and 128 bits more, shared parts by the anchor's 64 bits and 64
+bits more. Every pass counts digits with a partial aggregation before it shuffles, and hands the counts back through
 joins that Spark can split, so that no group is held by one task. Texts shuffle only where a bounded
 Bloom filter says that the document takes part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.exact_dedup import possibly
-from peakloom.llm.text import bounded_batches, map_rows, whole
-from peakloom.session import materialize
+from peakloom.llm.text import bounded_batches, map_rows, slim, whole
+from peakloom.session import materialize, release
 
-WIDTH, GRAM, CLASS, SEGMENT = 400, 128, 32, 1 << 22
+WIDTH, GRAM, CLASS, SEGMENT, OUT_ROWS = 400, 128, 32, 1 << 20, 1 << 16
 TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -51,12 +58,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def anchored_blocks(text: bytes, width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
-    """(core, slice, lo, hi, at) of each run of windows lo..hi with the anchor ``at``; hashes are signed.
+BLOCK = ("core", "slice", "more", "lo", "hi", "at")
+
+
+def anchored_blocks(text: bytes, width: int = WIDTH) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of the runs of windows lo..hi with the anchor ``at``: its hash core and 128 bits of the block's hash.
 
-    Long texts are cut into segments of windows; a block at a cut is shorter, which no later pass minds.
+    Long texts are cut into segments of windows, each a result of its own; a block at a cut is shorter, which no later pass minds.
     """
-    out = []
     for begin in range(0, max(0, len(text) - width + 1), SEGMENT):
         data = np.frombuffer(text, np.uint8)[begin : begin + SEGMENT + width - 1]
         h = gram_hashes(data)
@@ -64,10 +73,22 @@ def anchored_blocks(text: bytes, width: int = WIDTH) -> list[tuple[int, int, int
         at = (sliding_min(key, width - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         hi = np.r_[lo[1:], len(at)] - 1
-        core, where = h[at[lo]].view(np.int64).tolist(), (at[lo] + begin).tolist()
-        for c, i, j, a in zip(core, (lo + begin).tolist(), (hi + begin).tolist(), where):
-            out.append((c, xxhash.xxh3_64_intdigest(text[i : j + width]) - (1 << 63), i, j, a))
-    return out
+        part = text[begin : begin + len(data)]
+        digest = b"".join([xxhash.xxh3_128_digest(part[i : j + width]) for i, j in zip(lo.tolist(), hi.tolist())])
+        halves = np.frombuffer(digest, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+        yield dict(zip(BLOCK, (h[at[lo]].view(np.int64), halves[:, 0], halves[:, 1], lo + begin, hi + begin, at[lo] + begin)))
+
+
+def folded(blocks: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one block of each kind, how often each is there, and the windows (lo, hi) of those that come more than once, joined where they touch."""
+    order = np.lexsort((blocks["slice"], blocks["more"]))
+    a, b = blocks["slice"][order], blocks["more"][order]
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    times = np.diff(np.r_[head, len(order)])
+    again = np.sort(order[np.repeat(times > 1, times)])
+    lo, hi = blocks["lo"][again], blocks["hi"][again]
+    first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + 1]) if len(lo) else np.zeros(0, np.int64)
+    return order[head], times, np.stack([lo[first], hi[np.r_[first[1:], len(lo)] - 1]], 1) if len(lo) else np.zeros((0, 2), np.int64)
 
 
 def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> tuple[list[pa.Array], list[str]]:
@@ -83,22 +104,42 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def block_table(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The blocks of all texts: k1, k2, core, slice, lo, hi, at."""
-    bounded_batches(rows.sparkSession)
-    long, whole_number = pa.int64(), pa.int32()
+    """The blocks of all texts: k1, k2, core, slice, more, lo, hi, at, times (in the segment of the text).
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, owner = [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            mine = anchored_blocks(text, width)
-            found += mine
-            owner += [i] * len(mine)
-        arrays, names = _columns(found, ["core", "slice", "lo", "hi", "at"], [long, long, whole_number, whole_number, whole_number])
-        at = pa.array(owner, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), *arrays], names=["k1", "k2", *names])
+    Rows without a core are windows that are known to be repeated inside their text.
+    """
+    bounded_batches(rows.sparkSession)
+    names = ["k1", "k2", *BLOCK, "times"]
+    kinds = dict.fromkeys(names, pa.int64()) | dict.fromkeys(("lo", "hi", "at", "times"), pa.int32())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        count = 0
+
+        def close() -> pa.RecordBatch:
+            columns = []
+            for c in names:
+                values = np.concatenate([x[c] for x in held])
+                hidden = np.concatenate([x["times"] == 0 for x in held]) if c in BLOCK and c not in ("lo", "hi") else None
+                columns.append(pa.array(values, kinds[c], mask=hidden))
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slim(batches, "text"):
+            for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
+                for blocks in anchored_blocks(text, width):
+                    at, times, again = folded(blocks)
+                    made = {c: np.r_[blocks[c][at], again[:, k] if (k := {"lo": 0, "hi": 1}.get(c)) is not None else np.zeros(len(again), np.int64)] for c in BLOCK}
+                    made["times"] = np.r_[times, np.zeros(len(again), np.int64)]
+                    held.append(made | {"k1": np.full(len(made["times"]), k1), "k2": np.full(len(made["times"]), k2)})
+                    count += len(made["times"])
+                    if count >= OUT_ROWS:
+                        yield close()
+                        held, count = [], 0
+        if held:
+            yield close()
 
     long_ones = rows.where(F.octet_length("text") >= width).select("k1", "k2", "text")
-    return map_rows(long_ones, kernel, "k1 long, k2 long, core long, slice long, lo int, hi int, at int")
+    return long_ones.mapInArrow(run, "k1 long, k2 long, core long, slice long, more long, lo int, hi int, at int, times int")
 
 
 def split_classes(text: bytes, ranges: list[dict], width: int = WIDTH) -> list[tuple]:
@@ -119,7 +160,7 @@ def split_classes(text: bytes, ranges: list[dict], width: int = WIDTH) -> list[t
 
 def class_table(rows: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pass 3's rows for the ranges (k1, k2, core, lo, hi, at, open) of documents."""
-    lists = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "lo", "hi", "at", "open")).alias("ranges"))
+    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("core", "lo", "hi", "at", "open")).alias("ranges"))
     texts = possibly(rows, ranges, "k1", "k1").where("maybe").select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
@@ -138,16 +179,23 @@ def class_table(rows: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataF
 
 
 def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(k1, k2, lo, hi): runs of window starts whose windows occur elsewhere too; runs may overlap."""
+    """k1, k2 and the runs (lo, hi) of window starts whose windows occur elsewhere too; runs may overlap.
+
+    Copies of a row give the same runs, which are held once.
+    """
     blocks = materialize(block_table(rows, width), "blocks")
-    cores = blocks.groupBy("core").agg(F.count("*").alias("n"), F.min("slice").alias("a"), F.max("slice").alias("z"))
-    cores = cores.where("n > 1").select("core", (F.col("a") == F.col("z")).alias("uniform"))
+    inside = blocks.where("core IS NULL")
+    kind = F.struct("slice", "more")
+    cores = blocks.where("core IS NOT NULL").groupBy("core").agg(
+        F.sum("times").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("slice", "more") for f, k in ((F.min, "a"), (F.max, "z"))]
+    )
+    cores = cores.where("n > 1").select("core", ((F.col("slice_a") == F.col("slice_z")) & (F.col("more_a") == F.col("more_z"))).alias("uniform"))
     hits = materialize(blocks.join(cores.hint("rebalance"), "core"), "block-hits")
     mixed = hits.where("NOT uniform")
-    kinds = mixed.groupBy("core", "slice").agg(F.count("*").alias("n"), F.min_by(F.struct("k1", "k2", "lo", "hi", "at"), "k1").alias("one"))
+    kinds = mixed.groupBy("core", kind.alias("kind")).agg(F.sum("times").alias("n"), F.min_by(F.struct("k1", "k2", "lo", "hi", "at"), "k1").alias("one"))
     kinds = materialize(kinds, "block-kinds")
-    many = kinds.where("n > 1").select("core", "slice")
-    again = mixed.join(many, ["core", "slice"])
+    many = kinds.where("n > 1").select("core", "kind.slice", "kind.more")
+    again = mixed.join(many, ["core", "slice", "more"])
     ranges = kinds.select("core", (F.col("n") == 1).alias("open"), "one.k1", "one.k2", "one.lo", "one.hi", "one.at")
     classes = materialize(class_table(rows, ranges, width), "window-classes")
     whole_class = F.xxhash64("head", "tail", "first", "last")
@@ -161,8 +209,11 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     digits = ["core", "cls", "j", "rest"]
     equal = each.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     single = each.where("open").join(equal.hint("rebalance"), digits).select("k1", "k2", "lo", F.col("lo").alias("hi"))
-    found = [x.select("k1", "k2", "lo", "hi") for x in (hits.where("uniform"), again, alike, single)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    found = [x.select("k1", "k2", "lo", "hi") for x in (inside, hits.where("uniform"), again, alike, single)]
+    runs = reduce(DataFrame.unionByName, found).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    runs = materialize(runs, "window-runs")
+    release(blocks, hits, kinds, classes, left)
+    return runs
 
 
 def cut_spans(text: bytes, runs: list[dict], width: int = WIDTH) -> tuple[list[tuple[int, int]], bytes]:
@@ -185,8 +236,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     occurrences of each other. Spans are null where nothing is removed. Other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    runs = repeated_windows(rows, width).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    runs = materialize(runs, "window-runs")
+    runs = repeated_windows(rows, width)
     probed = possibly(rows, runs, "k1", "k1")
     none = F.lit(None).cast("array<struct<begin:int,end:int>>")
     straight = probed.where("NOT maybe").select("doc_id", none.alias("spans"), F.col("text").alias("kept_text"), F.octet_length("text").alias("n_bytes"))

@@ -186,7 +186,8 @@ def test_repeats_planted(spark):
 def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 1000)
     text = words(2000, 11).encode()
-    starts = [i for _, _, lo, hi, at in substrings.anchored_blocks(text) for i in range(lo, hi + 1) if lo <= at and at + substrings.GRAM <= lo + 400]
+    blocks = [b for x in substrings.anchored_blocks(text) for b in zip(x["lo"].tolist(), x["hi"].tolist(), x["at"].tolist())]
+    starts = [i for lo, hi, at in blocks for i in range(lo, hi + 1) if lo <= at and at + substrings.GRAM <= lo + 400]
     assert sorted(starts) == list(range(len(text) - 399))
 
 
@@ -380,3 +381,19 @@ def test_archive_sample_reaches_every_part():
     pieces = warc.sample_pieces(records)
     assert sum(map(len, pieces)) <= warc.SAMPLE_BYTES + warc.PIECE and {p[:1] for p in pieces} == {bytes([65 + k]) for k in range(26)}
     assert b"".join(warc.sample_pieces([b"abc", b"", b"de"])) == b"abcde"
+
+
+def test_periodic_text_makes_few_rows(spark):
+    texts = ["z" * (3 << 20), "xy" * 800_000 + "".join(random.Random(3).choices("abcdefghij ", k=900)), "plain text " + "".join(random.Random(4).choices("abcdefghij ", k=900))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = substrings.keyed(docs, "doc_id", "text")
+    assert substrings.block_table(rows).count() < 200
+    found = {r.doc_id: r for r in substrings.digest_repeats(substrings.remove_repeats(docs)).collect()}
+    assert [found[i].n_removed for i in range(3)] == [3 << 20, 1_600_000, 0]
+
+
+def test_repeats_in_copies_of_a_row(spark):
+    text = words(200, 31)
+    docs = spark.createDataFrame([(1, text)] * 40 + [(2, words(200, 32))], "doc_id long, text string")
+    found = Counter(tuple(r) for r in substrings.digest_repeats(substrings.remove_repeats(docs)).select("doc_id", "n_removed", "n_spans").collect())
+    assert found == {(1, len(text.encode()), 1): 40, (2, 0, 0): 1}
