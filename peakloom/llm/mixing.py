@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.text import word_count
-from peakloom.session import materialize
+from peakloom.session import materialize, release
 
 WEIGHTS, SHARE, CAP, CHUNK_ROWS = (3, 1, 2), 1.5, 2, 4096
 #: Weight schedules, dealt to the sources in turn: falling, level and rising.
@@ -113,7 +113,9 @@ def plan_mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     taken = sum((part(k) for k in range(1, cap)), part(0)).cast("long")
     out = joined.withColumns({"taken": taken, "target": F.round("target", 6)})
     out = out.withColumn("position", F.when(F.col("taken") > 0, take_time(0, schedules)))
-    return materialize(out.drop("__source", "__hash", "__chunk", "__base"), "mix-plan")
+    plan = materialize(out.drop("__source", "__hash", "__chunk", "__base"), "mix-plan")
+    release(sums)
+    return plan
 
 
 def take_time(take: Column | int, schedules: Sequence[Sequence[float]] = SCHEDULES) -> Column:
@@ -128,7 +130,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Sizes are word counts; a null text has none. Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    plan = plan_mix(materialize(rows, "mix-sizes"), **options)
+    sizes = materialize(rows, "mix-sizes")
+    plan = plan_mix(sizes, **options)
+    release(sizes)
     return plan.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -152,7 +156,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = renamed.withColumns({"k1": F.xxhash64(*hashed, nulls), "k2": F.xxhash64(nulls, F.lit(1), *reversed(hashed))})
     sizes = keyed.select("k1", "k2", F.col(own[id_col]).alias("id"), F.col(own[source_col]).alias("source"), word_count(own[text_col]).alias("one"))
     sizes = sizes.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("one").alias("one"), (F.first("one") * F.count("*")).alias("size"))
-    plan = plan_mix(materialize(sizes, "mix-sizes"), "id", "source", "size", schedules=schedules, **options)
+    sizes = materialize(sizes, "mix-sizes")
+    plan = plan_mix(sizes, "id", "source", "size", schedules=schedules, **options)
+    release(sizes)
     copies = F.floor(F.col("taken") / F.greatest("one", F.lit(1)) + 0.5).cast("int")
     rows = F.greatest(F.col("size") / F.greatest("one", F.lit(1)), F.lit(1.0))  # equal rows that are one document here
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,7 @@ similar share one but for about 3 pairs in a million; the index searches each bu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from peakloom.llm.exact_dedup import possibly
 from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.plans.graph import connected_components
-from peakloom.session import materialize
+from peakloom.session import materialize, release
 
-SHINGLE, RADIUS, FANOUT, HOT, BUCKET_ROWS = 3, 3, 8, 4096, 100_000
+SHINGLE, RADIUS, FANOUT, HOT, BUCKET_ROWS, SKETCH_ROWS = 3, 3, 8, 4096, 100_000, 16_384
 #: For ``drop_similar``: the similarity to catch, at which sets differ in 9.7 of 64 bits (deviation 2.9), and the radius; hashes of a sketch,
 #: those of them that name buckets, and the share of a sketch that candidates have in common (0.85 is usual at the least similarity, deviation
 #: 0.09); sets of a chunk to verify.
@@ -318,7 +319,7 @@ def bucket_stars(keys: DataFrame, prints: DataFrame, radius: int, least: float)
     smaller sketch in common.
     """
     keys = materialize(keys, "sketch-keys")
-    parts = max(1, -(-keys.count() // BUCKET_ROWS))
+    parts = max(1, -(-keys.count() // SKETCH_ROWS))
     dealt = keys.join(prints, "node").withColumn("part", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(parts)).cast("int"))
 
     def kernel(rows: pa.Table) -> pa.Table:
@@ -342,7 +343,10 @@ def bucket_stars(keys: DataFrame, prints: DataFrame, radius: int, least: float)
         joined = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[index.order[joined]], "b": node[index.order[label[joined]]]})
 
-    return dealt.select("part", "key", "node", "fp", "n", "sketch").groupBy("part").applyInArrow(kernel, "a long, b long")
+    stars = dealt.select("part", "key", "node", "fp", "n", "sketch").groupBy("part").applyInArrow(kernel, "a long, b long")
+    stars = materialize(stars, "bucket-stars")
+    release(keys)
+    return stars
 
 
 def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, hot: int = HOT) -> DataFrame:
@@ -363,18 +367,20 @@ def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, hot:
     if not busy.limit(1).count():
         return bucket_stars(rows, some, radius, least)
     marked = rows.join(busy, "key", "left")
-    stars = materialize(bucket_stars(marked.where("chunks IS NULL").select("key", "node"), some, radius, least), "calm-stars")
+    found = [bucket_stars(marked.where("chunks IS NULL").select("key", "node"), some, radius, least)]
     crowd = materialize(marked.where("chunks IS NOT NULL").select("key", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int").alias("chunk")), "busy-rows")
-    stars = materialize(stars.unionByName(bucket_stars(crowd.select(F.xxhash64("key", "chunk").alias("key"), "node"), some, radius, least)), "chunk-stars")
+    found.append(bucket_stars(crowd.select(F.xxhash64("key", "chunk").alias("key"), "node"), some, radius, least))
 
-    def classed(links: DataFrame) -> DataFrame:
-        return crowd.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    def classed() -> DataFrame:
+        roots = connected_components(reduce(DataFrame.unionByName, found))
+        return materialize(crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")), "busy-classes")
 
-    heads = classed(stars).groupBy("key", "label").agg(F.min("node").alias("node"))
+    chunked = classed()
+    heads = chunked.groupBy("key", "label").agg(F.min("node").alias("node"))
     heads = heads.join(heads.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("chunks")), "key")
     heads = heads.select(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks"))).alias("key"), "node")
-    stars = materialize(stars.unionByName(bucket_stars(heads, some, radius, least)), "head-stars")
-    sorted_out = materialize(classed(stars), "busy-classes")
+    found.append(bucket_stars(heads, some, radius, least))
+    sorted_out = classed()
     several = sorted_out.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("key")
     own = sorted_out.join(several, "key").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own"))  # KEYS at most
     pairs = F.flatten(F.transform("own", lambda g, i: F.transform(F.slice("own", i + 2, KEYS), lambda h: F.xxhash64(g, h))))
@@ -384,10 +390,12 @@ def candidates(prints: DataFrame, radius: int = WIDE, least: float = LEAST, hot:
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("mine")) | (F.col("chunks") == 1))
     dealt = pairs.withColumn("other", F.explode(others))
     dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
-    return stars.unionByName(bucket_stars(dealt, some, radius, least))
+    found.append(bucket_stars(dealt, some, radius, least))
+    release(busy, crowd, chunked, sorted_out)
+    return reduce(DataFrame.unionByName, found)
 
 
-def cell_stars(dealt: DataFrame, split: int, parts: int, least: float) -> DataFrame:
+def cell_stars(dealt: DataFrame, parts: int, least: float) -> DataFrame:
     """(a, b): stars over the sets of each cell (columns cell, node, label, hashes); sets of one label are joined already."""
     spread = dealt.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
 
@@ -436,21 +444,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col:
     parts = max(1, -(-sets.count() // split))
     many = sets.groupBy("root").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
     own = sets.join(many, "root").withColumn("cell", F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks"))))
-    stars = materialize(cell_stars(own.withColumn("label", F.col("node")), split, parts, least), "chunk-stars")
+    found = [materialize(cell_stars(own.withColumn("label", F.col("node")), parts, least), "chunk-stars")]
     large = materialize(many.where("chunks > 1").select("root"), "large-groups")
-    if not large.limit(1).count():
-        return stars
-    hard = materialize(sets.join(large, "root"), "large-sets")
+    if large.limit(1).count():
+        hard = materialize(sets.join(large, "root"), "large-sets")
 
-    def classed(links: DataFrame) -> DataFrame:
-        return hard.join(connected_components(links).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        def classed() -> DataFrame:
+            roots = connected_components(reduce(DataFrame.unionByName, found)).withColumnRenamed("root", "label")
+            return materialize(hard.select("node", "root").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "large-classes")
 
-    heads = classed(stars).where("label = node")
-    stars = materialize(stars.unionByName(cell_stars(chunk_pairs(heads, split), split, parts, least)), "head-stars")
-    sorted_out = materialize(classed(stars), "large-classes")
-    several = sorted_out.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("root")
-    rest = sorted_out.join(several, "root")
-    return stars.unionByName(cell_stars(chunk_pairs(rest, split), split, parts, least))
+        heads = classed()
+        found.append(materialize(cell_stars(chunk_pairs(hard.join(heads.where("label = node"), ["node", "root"]), split), parts, least), "head-stars"))
+        sorted_out = classed()
+        several = sorted_out.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("root")
+        rest = hard.join(sorted_out.join(several, "root"), ["node", "root"])
+        found.append(materialize(cell_stars(chunk_pairs(rest, split), parts, least), "pair-stars"))
+        release(hard, heads, sorted_out)
+    release(wanted, sets, large)
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE, least: float = LEAST, hot: int = HOT, split: int = SPLIT) -> DataFrame:
@@ -469,12 +480,14 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = materialize(prints.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "roots")
     best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classed = marked.select("doc_id", "node", "text_name").join(rooted.join(best, "root").select("node", "component_id"), "node")
-    return without(docs, classed.where("doc_id > component_id").select("doc_id", "text_name"), id_col, text_col)
+    lost = materialize(classed.where("doc_id > component_id").select("doc_id", "text_name").distinct(), "lost")
+    release(marked, prints, rooted)
+    return without(docs, lost, id_col, text_col)
 
 
 def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose id and text (by hash) are not among the lost ones; texts shuffle only where a Bloom filter says they may be."""
-    lost = materialize(lost.select(F.col("doc_id").alias("__lost"), F.col("text_name").alias("__lost_text")).distinct(), "lost")
+    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_name").alias("__lost_text"))
     own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]).withColumn("__name", text_name(own[text_col]))
     probed = possibly(rows, lost, "__name", "__lost_text")
@@ -493,4 +506,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id all stay. Rows that repeat an id with another text are judged by their own fingerprint.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, size, named=True), "simhash")
-    return without(docs, classes(marked, hot).where("doc_id > component_id").select("doc_id", "text_name"), id_col, text_col)
+    lost = materialize(classes(marked, hot).where("doc_id > component_id").select("doc_id", "text_name").distinct(), "lost")
+    release(marked)
+    return without(docs, lost, id_col, text_col)
