@@ -31,7 +31,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digest_repeats(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    passages = substrings.shared_passages(substrings.keyed(docs, "doc_id", "text"))
+    return substrings.digest_repeats(substrings.remove_repeats(docs), passages)
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ Bloom filter says that the document takes part.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,8 +40,13 @@ STEP, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """Hash of each string of ``size`` bytes (a power of two), by doubling."""
-    h, have = TABLE[data], 1
+    """Hash of each string of ``size`` bytes (a power of two)."""
+    return run_hashes(TABLE[data], size)
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` hashes (a power of two), by doubling."""
+    have = 1
     while have < size:
         h = h[:-have] * STEP + h[have:]
         h ^= h >> FOLD
@@ -229,7 +234,7 @@ def cut_spans(text: bytes, runs: list[dict], width: int = WIDTH) -> tuple[list[t
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans (array of begin and end in bytes) and kept_text (bytes) of each row.
+    """doc_id, spans (array of begin and end in bytes), kept_text (bytes), n_bytes and the row's name k1, k2 of each row.
 
     Each byte covered by a string of ``width`` bytes that also starts anywhere else is removed, the first
     occurrence included. Null texts are empty; texts under ``width`` bytes stay whole; repeated rows are
@@ -239,7 +244,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     runs = repeated_windows(rows, width)
     probed = possibly(rows, runs, "k1", "k1")
     none = F.lit(None).cast("array<struct<begin:int,end:int>>")
-    straight = probed.where("NOT maybe").select("doc_id", none.alias("spans"), F.col("text").alias("kept_text"), F.octet_length("text").alias("n_bytes"))
+    straight = probed.where("NOT maybe").select("k1", "k2", "doc_id", none.alias("spans"), F.col("text").alias("kept_text"), F.octet_length("text").alias("n_bytes"))
     bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
@@ -250,16 +255,89 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             spans.append(cut and [{"begin": a, "end": b} for a, b in cut])
             kept.append(rest)
             sizes.append(len(text))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "spans", "kept_text", "n_bytes"])
+        same = [batch.column(c) for c in ("k1", "k2", "doc_id")]
+        return pa.RecordBatch.from_arrays([*same, pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(sizes, pa.int32())], names=["k1", "k2", "doc_id", "spans", "kept_text", "n_bytes"])
 
-    cut = probed.where("maybe").join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    cut = probed.where("maybe").join(runs, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "runs")
     return straight.unionByName(map_rows(cut, kernel, straight.schema))
 
 
-def digest_repeats(removed: DataFrame) -> DataFrame:
-    """The query's columns from the rows of ``remove_repeats``."""
+#: Words of a shared window, of its anchor, and words of the filter of anchors (8 bytes each).
+PASSAGE, ANCHOR, ANCHOR_WORDS = 51, 16, 1 << 20
+
+
+def word_windows(text: bytes, window: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (two columns) and the anchor of each window of words: its least run of ``ANCHOR`` words by hash."""
+    words = text.split()
+    if len(words) < window:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    short, half = run_hashes(h, ANCHOR), 1 << (window.bit_length() - 1)
+    long = run_hashes(h, half)
+    a, b = long[: len(words) - window + 1], long[window - half :]  # two runs that cover the window
+    both = np.stack([(a ^ (b >> FOLD)) * STEP + b, (b ^ (a >> FOLD)) * TABLE[0] + a * TABLE[1]], 1)
+    return both, sliding_min(short, window - ANCHOR + 1)
+
+
+def anchor_cell(core: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the filter of anchors and the mask of two bits of an anchor."""
+    one = np.uint64(1)
+    return (core & np.uint64(words - 1)).astype(np.int64), (one << ((core >> np.uint64(40)) & np.uint64(63))) | (one << ((core >> np.uint64(46)) & np.uint64(63)))
+
+
+def shared_passages(rows: DataFrame, window: int = PASSAGE, words: int = ANCHOR_WORDS) -> DataFrame:
+    """k1, k2 and n_shared_windows of the documents that have windows of ``window`` words which another document has too.
+
+    White space between words does not count. A first pass gathers the anchors of each text; those of two or more documents go into a filter of
+    ``words`` words, which is broadcast. A second pass over the texts makes rows of the windows whose anchors pass it; windows of
+    several documents are counted for each. Beyond the filter's capacity more windows become rows, and the counts stay the same.
+    """
+    bounded_batches(rows.sparkSession)
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    texts = rows.where(F.octet_length("text") >= 2 * window - 1).select("k1", "k2", "text")
+
+    def emit(batches: Iterable[pa.RecordBatch], some: Callable[[bytes], np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+        for batch in slim(batches, "text", 4 << 20):
+            found = [some(t) for t in batch.column("text").to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            made = np.concatenate(found)
+            columns = [batch.column(c).take(owner) for c in names if c in ("k1", "k2")] + [signed(made[:, i]) for i in range(made.shape[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return emit(batches, lambda t: np.unique(word_windows(t, window)[1])[:, None], ["k1", "core"])
+
+    several = texts.mapInArrow(anchors, "k1 long, core long").groupBy("core").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z")
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("core", at).bitwiseAND(F.lit(63)).cast("int"))
+    cells = several.groupBy(F.col("core").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(bit(40).bitwiseOR(bit(46))).alias("bits"))
+    held = cells.toPandas()  # ``words`` rows at most
+    bits = np.zeros(words, np.int64)
+    bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(text: bytes) -> np.ndarray:
+            both, core = word_windows(text, window)
+            at, mask = anchor_cell(core, words)
+            return np.unique(both[(shared.value[at] & mask) == mask], axis=0)
+
+        return emit(batches, some, ["k1", "k2", "w1", "w2"])
+
+    made = materialize(texts.mapInArrow(windows, "k1 long, k2 long, w1 long, w2 long"), "word-windows")
+    common = made.groupBy("w1", "w2").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("w1", "w2")
+    counts = made.join(common.hint("rebalance"), ["w1", "w2"]).groupBy("k1", "k2").agg(F.count_distinct("w1", "w2").alias("n_shared_windows"))
+    counts = materialize(counts, "shared-windows")
+    release(made)
+    return counts
+
+
+def digest_repeats(removed: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """The query's columns from the rows of ``remove_repeats``, and n_shared_windows from those of ``shared_passages``."""
     kept = F.col("kept_text")
-    return removed.select(
+    out = removed.select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), (F.col("n_bytes") - F.octet_length(kept)).cast("long").alias("n_removed"),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), "k1", "k2",
     )
+    if passages is not None:
+        out = out.join(passages, ["k1", "k2"], "left").withColumn("n_shared_windows", F.coalesce("n_shared_windows", F.lit(0)))
+    return out.drop("k1", "k2")

@@ -397,3 +397,22 @@ def test_repeats_in_copies_of_a_row(spark):
     docs = spark.createDataFrame([(1, text)] * 40 + [(2, words(200, 32))], "doc_id long, text string")
     found = Counter(tuple(r) for r in substrings.digest_repeats(substrings.remove_repeats(docs)).select("doc_id", "n_removed", "n_spans").collect())
     assert found == {(1, len(text.encode()), 1): 40, (2, 0, 0): 1}
+
+
+@pytest.mark.parametrize("filter_words", [64, 1 << 20])
+def test_shared_passages(spark, real, filter_words):
+    passage = words(51, 41).split()
+    rows = [(1, words(70, 42) + " " + " ".join(passage)), (2, "\n".join(passage) + "\n" + words(30, 43)), (3, " ".join(passage[:50]) + " x " + words(60, 44)), (4, (words(60, 45) + " ") * 3), (5, None), (6, ""), (None, " ".join(passage))]
+    rows += [(r.doc_id + 10, r.text) for r in real.orderBy("doc_id").limit(80).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    owners = defaultdict(set)
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 50):
+            owners[tuple(w[k : k + 51])].add(i)
+    want = Counter(i for s in owners.values() if len(s) > 1 for i in s)
+    keyed = substrings.keyed(docs, "doc_id", "text")
+    found = keyed.join(substrings.shared_passages(keyed, words=filter_words), ["k1", "k2"]).select("doc_id", "n_shared_windows").collect()
+    assert {r.doc_id: r.n_shared_windows for r in found} == dict(want) and {1, 2, None} <= set(want) and not {3, 4} & set(want)
+    digested = substrings.digest_repeats(substrings.remove_repeats(docs), substrings.shared_passages(keyed))
+    assert digested.count() == len(rows) and {r.doc_id: r.n_shared_windows for r in digested.where("n_shared_windows > 0").collect()} == dict(want)
