@@ -285,59 +285,77 @@ def anchor_cell(core: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (core & np.uint64(words - 1)).astype(np.int64), (one << ((core >> np.uint64(40)) & np.uint64(63))) | (one << ((core >> np.uint64(46)) & np.uint64(63)))
 
 
+def word_blocks(text: bytes, window: int = PASSAGE) -> np.ndarray:
+    """The distinct runs of windows of one anchor: the anchor and a hash of the run's windows."""
+    both, core = word_windows(text, window)
+    if not len(core):
+        return np.zeros((0, 2), np.uint64)
+    head = np.flatnonzero(np.r_[True, core[1:] != core[:-1]])
+    kind = [xxhash.xxh3_64_intdigest(both[i:j].tobytes()) for i, j in zip(head.tolist(), [*head[1:].tolist(), len(core)])]
+    return np.unique(np.stack([core[head], np.array(kind, np.uint64)], 1), axis=0)
+
+
 def shared_passages(rows: DataFrame, window: int = PASSAGE, words: int = ANCHOR_WORDS) -> DataFrame:
-    """k1, k2 and n_shared_windows of the documents that have windows of ``window`` words which another document has too.
+    """k1 and k2 of the documents that have a window of ``window`` words which another document has too.
 
-    White space between words does not count. A first pass gathers the anchors of each text; those of two or more documents go into a filter of
-    ``words`` words, which is broadcast. A second pass over the texts makes rows of the windows whose anchors pass it; windows of
-    several documents are counted for each. Beyond the filter's capacity more windows become rows, and the counts stay the same.
+    White space between words does not count. Neighbouring windows of one anchor travel as one run, as in the passes over bytes. A document that has a run
+    which another one has too is found. Where others share an anchor only, single windows are compared: a second pass over the texts makes
+    rows of the windows of one anchor in two documents of each kind of run, which a filter of ``words`` words (broadcast)
+    picks. Beyond the filter's capacity more windows become rows, and what is found stays the same.
     """
     bounded_batches(rows.sparkSession)
     signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
     texts = rows.where(F.octet_length("text") >= 2 * window - 1).select("k1", "k2", "text")
 
-    def emit(batches: Iterable[pa.RecordBatch], some: Callable[[bytes], np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterable[pa.RecordBatch], some: Callable[[bytes, int], np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
         for batch in slim(batches, "text", 4 << 20):
-            found = [some(t) for t in batch.column("text").to_pylist()]
+            found = [some(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist())]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             made = np.concatenate(found)
-            columns = [batch.column(c).take(owner) for c in names if c in ("k1", "k2")] + [signed(made[:, i]) for i in range(made.shape[1])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return emit(batches, lambda t: np.unique(word_windows(t, window)[1])[:, None], ["k1", "core"])
-
-    several = texts.mapInArrow(anchors, "k1 long, core long").groupBy("core").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z")
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("core", at).bitwiseAND(F.lit(63)).cast("int"))
-    cells = several.groupBy(F.col("core").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(bit(40).bitwiseOR(bit(46))).alias("bits"))
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(owner), batch.column("k2").take(owner), signed(made[:, 0]), signed(made[:, 1])], names=["k1", "k2", *names])
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return emit(batches, lambda t, _: word_blocks(t, window), ["core", "kind"])
+
+    blocks = materialize(texts.mapInArrow(runs, "k1 long, k2 long, core long, kind long"), "word-blocks")
+    cores = blocks.groupBy("core").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("core")
+    hits = materialize(blocks.join(cores.hint("rebalance"), "core"), "word-hits")
+    kinds = materialize(hits.groupBy("core", "kind").agg(F.min("k1").alias("a"), F.max("k1").alias("z")), "word-kinds")
+    many = kinds.where("a != z").select("core", "kind")
+    sure = materialize(hits.join(many.hint("rebalance"), ["core", "kind"]).select("k1", "k2").distinct(), "shared-runs")
+    open_ones = hits.join(sure, ["k1", "k2"], "left_anti").select("core").distinct()
+    both_ends = F.transform(F.array_distinct(F.array("a", "z")), lambda k: k.bitwiseXOR(F.col("core")))
+    wanted = kinds.join(open_ones, "core").select(F.explode(both_ends).alias("key"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("key", at).bitwiseAND(F.lit(63)).cast("int"))
+    cells = wanted.groupBy(F.col("key").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(bit(40).bitwiseOR(bit(46))).alias("bits"))
     held = cells.toPandas()  # ``words`` rows at most
     bits = np.zeros(words, np.int64)
     bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
     shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some(text: bytes) -> np.ndarray:
+        def some(text: bytes, k1: int) -> np.ndarray:
             both, core = word_windows(text, window)
-            at, mask = anchor_cell(core, words)
+            at, mask = anchor_cell(core ^ np.int64(k1).astype(np.uint64), words)
             return np.unique(both[(shared.value[at] & mask) == mask], axis=0)
 
-        return emit(batches, some, ["k1", "k2", "w1", "w2"])
+        return emit(batches, some, ["w1", "w2"])
 
     made = materialize(texts.mapInArrow(windows, "k1 long, k2 long, w1 long, w2 long"), "word-windows")
     common = made.groupBy("w1", "w2").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("w1", "w2")
-    counts = made.join(common.hint("rebalance"), ["w1", "w2"]).groupBy("k1", "k2").agg(F.count_distinct("w1", "w2").alias("n_shared_windows"))
-    counts = materialize(counts, "shared-windows")
-    release(made)
-    return counts
+    found = made.join(common.hint("rebalance"), ["w1", "w2"]).select("k1", "k2").unionByName(sure).distinct()
+    found = materialize(found, "shared-passages")
+    release(blocks, hits, kinds, sure, made)
+    return found
 
 
 def digest_repeats(removed: DataFrame, passages: DataFrame | None = None) -> DataFrame:
-    """The query's columns from the rows of ``remove_repeats``, and n_shared_windows from those of ``shared_passages``."""
+    """The query's columns from the rows of ``remove_repeats``, and shares_passage: whether it is among those of ``shared_passages``."""
     kept = F.col("kept_text")
     out = removed.select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), (F.col("n_bytes") - F.octet_length(kept)).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), "k1", "k2",
     )
     if passages is not None:
-        out = out.join(passages, ["k1", "k2"], "left").withColumn("n_shared_windows", F.coalesce("n_shared_windows", F.lit(0)))
+        out = out.join(passages.withColumn("shares_passage", F.lit(True)), ["k1", "k2"], "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(False)))
     return out.drop("k1", "k2")
