@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +84,15 @@ def align_samples(features: DataFrame, reference: str | None = None, mz_toleranc
     """Spots across samples: (sample, id, spot, status, holder).
 
     ``features`` has sample, id, route, mz, rt, height and may have peaks. The sample order is global (the reference
-    first, then by name) and travels as a column; blocks are runs of a route without a gap in m/z above the tolerance,
+    first, then by name) and travels as a column; blocks are features of a route that chains of boxes link,
     so no box reaches beyond its block. Every feature is seated in a spot or folded into a holder with SAME spectra.
     """
     from peakloom.kernels.align import Block
-    from peakloom.operators.kernelled import blocks, map_groups
+    from peakloom.operators.kernelled import map_groups, near_blocks
 
     names = features.select("sample").distinct()
     order = names.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sample") != F.lit(reference or ""), "sample")) - 1)
-    rows = blocks(features.join(F.broadcast(order), "sample"), ["route"], mz_tolerance)  # one row a sample
+    rows = near_blocks(features.join(F.broadcast(order), "sample"), ["route"], mz_tolerance, rt_tolerance, ("sample",))  # one row a sample
     spectra = "peaks" in features.columns
     if spectra:
         rows = rows.withColumns({"ions": F.transform("peaks", lambda p: p["mz"]), "heights": F.transform("peaks", lambda p: p["intensity"])})
@@ -106,47 +107,56 @@ def align_samples(features: DataFrame, reference: str | None = None, mz_toleranc
 
 
 def align_to_reference(features: DataFrame, reference: str, mz_tolerance: float, rt_tolerance: float) -> DataFrame:
-    """(sample, id, match, score): the assignment of greatest total score of each sample's features to the reference's, by m/z block."""
+    """(sample, id, match, score): the assignment of greatest total score of each sample's features to the reference's.
+
+    Pairs within three tolerances link features to blocks; only candidate pairs meet, in a group for each sample and block.
+    """
     from peakloom.kernels.align import align_pair
-    from peakloom.operators.kernelled import blocks, map_groups
+    from peakloom.operators.kernelled import map_groups
+    from peakloom.plans.bands import box_join
+    from peakloom.plans.graph import linked_blocks
 
-    base = features.where(F.col("sample") == reference)
-    others = features.select("sample").distinct().where(F.col("sample") != reference).withColumnRenamed("sample", "target")
-    both = base.crossJoin(F.broadcast(others)).withColumn("side", F.lit(0)).unionByName(features.where(F.col("sample") != reference).withColumn("target", F.col("sample")).withColumn("side", F.lit(1)))  # the reference once for each sample
+    base = features.where(F.col("sample") == reference).select(F.col("id").alias("match"), F.col("mz").alias("mz_r"), F.col("rt").alias("rt_r"))
+    others = features.where(F.col("sample") != reference).select("sample", "id", "mz", "rt")
+    pairs = materialize(box_join(others, base, [("mz", "mz_r", 3 * mz_tolerance), ("rt", "rt_r", 3 * rt_tolerance)]), "reference-pairs")
+    edges = pairs.select(F.xxhash64("sample", F.lit(0), "id").alias("a"), F.xxhash64("sample", F.lit(1), "match").alias("b"))
 
-    def kernel(side, id, mz, rt):
-        a, b = side == 0, side == 1
-        return [{"id": int(id[b][j]), "match": int(id[a][i]), "score": s} for i, j, s in align_pair((mz[a], rt[a]), (mz[b], rt[b]), mz_tolerance, rt_tolerance)]
+    def kernel(id, mz, rt, match, mz_r, rt_r):
+        (_, mine), (_, theirs) = np.unique(id, return_index=True), np.unique(match, return_index=True)
+        found = align_pair((mz_r[theirs], rt_r[theirs]), (mz[mine], rt[mine]), mz_tolerance, rt_tolerance)
+        return [{"id": int(id[mine[j]]), "match": int(match[theirs[i]]), "score": s} for i, j, s in found]
 
-    rows = blocks(both.select("target", "side", "id", "mz", "rt"), ["target"], 3 * mz_tolerance)
-    return map_groups(rows, ["target", "block"], ["side", "mz", "id"], ["side", "id", "mz", "rt"], kernel, "id long, match long, score double").select(F.col("target").alias("sample"), "id", "match", "score")
+    rows = linked_blocks(pairs, F.xxhash64("sample", F.lit(0), "id"), edges)
+    columns = ["id", "mz", "rt", "match", "mz_r", "rt_r"]
+    return map_groups(rows, ["sample", "block"], ["id", "match"], columns, kernel, "id long, match long, score double").drop("block")
 
 
 def reconcile_spots(spots: DataFrame, mz_gate: float, rt_gate: float) -> DataFrame:
-    """(route, spot, merged): complete-link merging of spots whose samples are disjoint, by m/z block.
+    """(route, spot, merged): complete-link merging of spots whose samples are disjoint, by blocks of spots within the gates.
 
     ``spots`` has route, spot, mz, rt, weight and samples (array).
     """
     from peakloom.kernels.align import reconcile
-    from peakloom.operators.kernelled import blocks, map_groups
+    from peakloom.operators.kernelled import map_groups, near_blocks
 
     def kernel(id, mz, rt, weight, samples):
         found = reconcile(mz, rt, weight, [frozenset(s) for s in samples], mz_gate, rt_gate)
         return [{"spot": int(a), "merged": int(id[m])} for a, m in zip(id, found)]
 
-    rows = blocks(spots.withColumnRenamed("spot", "id"), ["route"], mz_gate)
+    rows = near_blocks(spots.withColumnRenamed("spot", "id"), ["route"], mz_gate, rt_gate)
     return map_groups(rows, ["route", "block"], ["mz", "id"], ["id", "mz", "rt", "weight", "samples"], kernel, "spot long, merged long").select("route", "spot", "merged")
 
 
 def exclusive_assignment(features: DataFrame, peaks: DataFrame, rt_tolerance: float, weight: float = 0.3) -> DataFrame:
     """(sample, channel, id, peak): best-first 1:1 assignment of MS1 peaks to features by RT and overlap, per channel.
 
-    Both sides have sample, channel, id, rt, left, right; only candidate pairs meet in a group.
+    Both sides have sample, channel, id, rt, left, right; only candidate pairs that share a feature or peak, in chains, meet in a group.
     """
     from peakloom.kernels.clusters import exclusive_pairs
     from peakloom.operators.kernelled import map_groups
     from peakloom.operators.relations import overlap_ratio
     from peakloom.plans.bands import band_join
+    from peakloom.plans.graph import linked_blocks
 
     other = peaks.select(*[F.col(c).alias(f"{c}_p") for c in ("sample", "channel", "id", "rt", "left", "right")])
     pairs = band_join(features, other, "rt", "rt_p", rt_tolerance, [("sample", "sample_p"), ("channel", "channel_p")])
@@ -156,7 +166,10 @@ def exclusive_assignment(features: DataFrame, peaks: DataFrame, rt_tolerance: fl
     def kernel(score, id, id_p):
         return [{"id": int(id[k]), "peak": int(id_p[k])} for k in exclusive_pairs(score, id, id_p)]
 
-    return map_groups(pairs, ["sample", "channel"], ["id", "id_p"], ["score", "id", "id_p"], kernel, "id long, peak long")
+    pairs = materialize(pairs.select("sample", "channel", "id", "id_p", "score"), "assignment-pairs")
+    own = F.xxhash64("sample", "channel", F.lit(0), "id")
+    rows = linked_blocks(pairs, own, pairs.select(own.alias("a"), F.xxhash64("sample", "channel", F.lit(1), "id_p").alias("b")))
+    return map_groups(rows, ["sample", "channel", "block"], ["id", "id_p"], ["score", "id", "id_p"], kernel, "id long, peak long").drop("block")
 
 
 def routed_segment(spots: DataFrame, segments: DataFrame) -> DataFrame:
@@ -194,12 +207,12 @@ def rematch_notes(notes: DataFrame, features: DataFrame, ppm: float = 5.0, least
 
 def alias_edges(left: DataFrame, right: DataFrame, mz_tolerance: float, rt_tolerance: float, ratio: float = 0.8) -> DataFrame:
     """(a, b): two views of one peak of a sample, close in m/z and RT and alike in height."""
-    from peakloom.plans.bands import band_join
+    from peakloom.plans.bands import box_join
 
     other = right.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "sample", "mz", "rt", "height")])
-    pairs = band_join(left, other, "mz", "mz_b", mz_tolerance, [("sample", "sample_b")])
+    pairs = box_join(left, other, [("mz", "mz_b", mz_tolerance), ("rt", "rt_b", rt_tolerance)], [("sample", "sample_b")])
     alike = F.least("height", "height_b") / F.greatest("height", "height_b") >= ratio
-    return pairs.where((F.abs(F.col("rt") - F.col("rt_b")) <= rt_tolerance) & alike).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    return pairs.where(alike).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
 def covered_rows(product: DataFrame, survey: DataFrame, rt_gate: float, least: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent operators: one group a row, its members as arrays, many groups in an Arrow batch.
 
-Groups are bounded by nature (the scans of a chromatogram) or are blocks of features that gaps in m/z set apart,
-so that no placement can look beyond its block.
+Groups are bounded by nature (the scans of a chromatogram) or are blocks of features that are linked, in chains, by the pairs that the
+step looks at; so no placement can look beyond its block, and a block is no larger than the features that truly compete.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from peakloom.plans.bands import islands
+from peakloom.plans.bands import box_join
+from peakloom.plans.graph import linked_blocks
 
 PEAK = "apex long, left long, right long, height double, area double, sn double, shape double"
 
@@ -86,30 +87,58 @@ def fill_gaps(series: DataFrame, targets: DataFrame, keys: list[str], tolerance:
     return map_groups(joined, [*keys, "centre"], ["scan"], ["scan", "intensity", "goal"], kernel, result)
 
 
-def blocks(features: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """Add ``block``: runs of features without a gap in m/z above ``gap``."""
-    return islands(features, keys, ["mz", "id"], gap, "block")
+def near_edges(features: DataFrame, keys: list[str], mz_tolerance: float, rt_tolerance: float, columns: tuple[str, str] = ("mz", "rt")) -> DataFrame:
+    """(a, b): pairs of features (``keys``, id) within both tolerances, as nodes of ``linked_blocks``."""
+    mz, rt = columns
+    one = features.select(F.xxhash64(*keys, "id").alias("a"), *[F.col(k).alias(f"{k}_a") for k in keys], F.col(mz).alias("mz_a"), F.col(rt).alias("rt_a"))
+    two = features.select(F.xxhash64(*keys, "id").alias("b"), *[F.col(k).alias(f"{k}_b") for k in keys], F.col(mz).alias("mz_b"), F.col(rt).alias("rt_b"))
+    pairs = box_join(one, two, [("mz_a", "mz_b", mz_tolerance), ("rt_a", "rt_b", rt_tolerance)], [(f"{k}_a", f"{k}_b") for k in keys])
+    return pairs.where("a < b").select("a", "b")
+
+
+def near_blocks(features: DataFrame, keys: list[str], mz_tolerance: float, rt_tolerance: float, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``block``: features that chains of pairs within both tolerances link. ``apart`` columns tell equal ids apart."""
+    named = features.withColumn("__id", F.col("id")).withColumn("id", F.xxhash64("id", *apart)) if apart else features
+    linked = linked_blocks(named, F.xxhash64(*keys, "id"), near_edges(named, keys, mz_tolerance, rt_tolerance))
+    return linked.withColumn("id", F.col("__id")).drop("__id") if apart else linked
+
+
+def envelope_edges(features: DataFrame, base: float, rt_tolerance: float, charges: int = 4, most: int = 8) -> DataFrame:
+    """(a, b): pairs that a walk over an envelope may step between: 1 to ``most`` carbon steps of some charge apart, within the error that steps gather."""
+    from peakloom.kernels.clusters import CARBON
+
+    goals = F.array(*[F.struct(F.lit(n * CARBON / k).alias("step"), F.lit(n).alias("n")) for k in range(1, charges + 1) for n in range(1, most + 1)])
+    light = features.select(F.xxhash64("sample", "id").alias("a"), F.col("sample").alias("sample_a"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.explode(goals).alias("g"))
+    light = light.select("a", "sample_a", "rt_a", (F.col("mz_a") + F.col("g.step")).alias("goal"), (F.greatest(F.col("mz_a") * base / 200, F.lit(base)) * F.col("g.n")).alias("wide"))
+    heavy = features.select(F.xxhash64("sample", "id").alias("b"), F.col("sample").alias("sample_b"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"))
+    pairs = box_join(heavy, light, [("mz_b", "goal", F.col("wide")), ("rt_b", "rt_a", rt_tolerance)], [("sample_a", "sample_b")], widths=[16 * base, 4 * rt_tolerance])
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def isotope_envelopes(features: DataFrame, base: float = 0.01, rt_tolerance: float = 0.06) -> DataFrame:
-    """(sample, id, mono, step) of the members of isotope envelopes, by block of m/z gaps wider than any envelope step."""
+    """(sample, id, mono, step) of the members of isotope envelopes; features are taken by blocks of possible steps at about the same time."""
     from peakloom.kernels.clusters import isotope_envelopes as walk
 
     def kernel(id, mz, rt, height):
         return [{"id": int(id[i]), "mono": int(id[m]), "step": s} for i, m, s in walk(mz, rt, height, base, rt_tolerance)]
 
-    return map_groups(blocks(features, ["sample"], 8.2), ["sample", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long, mono long, step long").drop("block")
+    rows = linked_blocks(features, F.xxhash64("sample", "id"), envelope_edges(features, base, rt_tolerance))
+    return map_groups(rows, ["sample", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long, mono long, step long").drop("block")
 
 
 def proximity_dedup(features: DataFrame, ppm: float = 20.0, rt_tolerance: float = 0.05) -> DataFrame:
-    """(sample, id) of the features that stay."""
+    """(sample, id) of the features that stay; blocks are chains of close pairs."""
     from peakloom.kernels.clusters import proximity_dedup as dedup
 
     def kernel(id, mz, rt, height):
         return [{"id": int(i)} for i in id[dedup(mz, rt, height, ppm, rt_tolerance)]]
 
-    widest = blocks(features, ["sample"], 0.05)
-    return map_groups(widest, ["sample", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long").drop("block")
+    one = features.select(F.xxhash64("sample", "id").alias("a"), F.col("sample").alias("sample_a"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.greatest(F.col("mz") * ppm * 1e-6, F.lit(0.005)).alias("wide"))
+    two = features.select(F.xxhash64("sample", "id").alias("b"), F.col("sample").alias("sample_b"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"))
+    pairs = box_join(two, one, [("mz_b", "mz_a", F.col("wide")), ("rt_b", "rt_a", rt_tolerance)], [("sample_a", "sample_b")], widths=[0.05, 4 * rt_tolerance])
+    edges = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = linked_blocks(features, F.xxhash64("sample", "id"), edges)
+    return map_groups(rows, ["sample", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long").drop("block")
 
 
 def cluster_peaks(peaks: DataFrame, keys: list[str], tolerance: float = 0.02, span: float = 0.05) -> DataFrame:
@@ -144,4 +173,4 @@ def merge_redundant(features: DataFrame, mz_gate: float, rt_gate: float) -> Data
             out.append({"id": int(id[i]), "redundant": hit})
         return out
 
-    return map_groups(blocks(features, ["route"], mz_gate), ["route", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long, redundant boolean").drop("block")
+    return map_groups(near_blocks(features, ["route"], mz_gate, rt_gate), ["route", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long, redundant boolean").drop("block")

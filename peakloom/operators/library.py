@@ -109,5 +109,5 @@ def annotate(queries: DataFrame, library: DataFrame, tolerance: float = 0.5, sco
     pairs = candidates(queries, library, tolerance).where("query_id != ref_id")
     best = top_hits(composite_scores(pairs, 0.02).where(F.col("score") >= score_floor), most, least_matched)
     payload = library.select(F.col("spec_id").alias("ref_id"), F.col("peaks").alias("ref_peaks"))
-    hit = F.struct(F.col("place").alias("rank"), "ref_id", "score", "n_matched", F.size("ref_peaks").alias("ref_size"))
+    hit = F.struct(F.col("place").alias("rank"), "ref_id", "score", "n_matched", "ref_peaks")
     return best.join(payload, "ref_id").groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("matches"))

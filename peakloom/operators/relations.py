@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.plans.bands import band_join, islands, nearest_join
+from peakloom.plans.bands import band_join, box_join, islands, nearest_join
 from peakloom.plans.graph import connected_components
 
 # Masses in Da.
@@ -49,8 +49,8 @@ def pair_edges(features: DataFrame, mz_tolerance: float, rt_tolerance: float) ->
     """Pairs (a, b), a < b, of one sample that are close in m/z and RT, with the features' columns suffixed."""
     left = features.select(*[F.col(c).alias(f"{c}_a") for c in features.columns])
     right = features.select(*[F.col(c).alias(f"{c}_b") for c in features.columns])
-    pairs = band_join(left, right, "mz_a", "mz_b", mz_tolerance, [("sample_a", "sample_b")])
-    return pairs.where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("rt_a") - F.col("rt_b")) <= rt_tolerance))
+    pairs = box_join(left, right, [("mz_a", "mz_b", mz_tolerance), ("rt_a", "rt_b", rt_tolerance)], [("sample_a", "sample_b")])
+    return pairs.where(F.col("id_a") < F.col("id_b"))
 
 
 def gap_class(delta: Column, classic: float = 0.01, relaxed: float = 0.02, most: int = 4) -> Column:
@@ -82,14 +82,14 @@ def overlap_ratio(left_a: Column, right_a: Column, left_b: Column, right_b: Colu
 def isotope_edges(features: DataFrame, rt_tolerance: float, classic: float = 0.01, relaxed: float = 0.02, most: int = 4) -> DataFrame:
     """(light, heavy, gap, step) of pairs an isotope step apart whose heavy side is not too strong.
 
-    Each feature is sent to the masses of its steps, so that the join's band is as narrow as the tolerance.
+    Each feature is sent to the masses of its steps, so that the join's box is as narrow as the tolerances in mass and RT.
     """
     steps = F.array(*[F.lit(n * ISOTOPES[0][1]) for n in range(1, most + 1)], *[F.lit(d) for _, d in ISOTOPES[1:]], *[F.lit(float(n)) for n in range(1, most + 1)])
     light = features.select(F.col("id").alias("light"), "sample", F.col("mz").alias("mz_light"), F.col("rt").alias("rt_light"), F.col("height").alias("height_light"), F.explode(steps).alias("step"))
     light = light.withColumn("goal", F.col("mz_light") + F.col("step"))
     heavy = features.select(F.col("id").alias("heavy"), F.col("sample").alias("sample_heavy"), F.col("mz").alias("mz_heavy"), F.col("rt").alias("rt_heavy"), F.col("height").alias("height_heavy"))
-    pairs = band_join(light, heavy, "goal", "mz_heavy", max(classic, relaxed) + 1e-9, [("sample", "sample_heavy")])
-    pairs = pairs.where(F.abs(F.col("rt_light") - F.col("rt_heavy")) <= rt_tolerance).dropDuplicates(["light", "heavy"])
+    pairs = box_join(light, heavy, [("goal", "mz_heavy", max(classic, relaxed) + 1e-9), ("rt_light", "rt_heavy", rt_tolerance)], [("sample", "sample_heavy")])
+    pairs = pairs.dropDuplicates(["light", "heavy"])
     delta = F.col("mz_heavy") - F.col("mz_light")
     pairs = pairs.withColumns({"gap": gap_class(delta, classic, relaxed, most), "nearest": nearest_step(delta, most)})
     carbon = F.abs(delta - ISOTOPES[0][1]) <= relaxed
@@ -102,8 +102,8 @@ def adduct_edges(features: DataFrame, rt_tolerance: float, mass_tolerance: float
     masses = neutral_masses(features.select("id", "sample", "mz", "rt"), mode)
     left = masses.select(*[F.col(c).alias(f"{c}_a") for c in masses.columns])
     right = masses.select(*[F.col(c).alias(f"{c}_b") for c in masses.columns])
-    pairs = band_join(left, right, "mass_a", "mass_b", mass_tolerance, [("sample_a", "sample_b")])
-    pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("place_a") != F.col("place_b")) & (F.abs(F.col("rt_a") - F.col("rt_b")) <= rt_tolerance))
+    pairs = box_join(left, right, [("mass_a", "mass_b", mass_tolerance), ("rt_a", "rt_b", rt_tolerance)], [("sample_a", "sample_b")])
+    pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("place_a") != F.col("place_b")))
     first = F.min(F.struct("place_a", "place_b", "adduct_a", "adduct_b"))
     return pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(first.alias("x")).select("a", "b", "x.adduct_a", "x.adduct_b")
 
@@ -113,8 +113,8 @@ def fragment_parents(features: DataFrame, peaks: DataFrame, rt_tolerance: float,
     kids = features.select(F.col("id").alias("child"), "sample", F.col("mz").alias("mz_child"), F.col("rt").alias("rt_child"))
     ions = peaks.select(F.col("spec_id").alias("parent"), F.col("mz").alias("ion"))
     parents = features.select(F.col("id").alias("parent"), F.col("sample").alias("sample_p"), F.col("mz").alias("mz_parent"), F.col("rt").alias("rt_parent")).join(ions, "parent")
-    pairs = band_join(kids, parents, "mz_child", "ion", mz_tolerance, [("sample", "sample_p")])
-    pairs = pairs.where((F.col("mz_parent") > F.col("mz_child")) & (F.abs(F.col("rt_parent") - F.col("rt_child")) <= rt_tolerance))
+    pairs = box_join(kids, parents, [("mz_child", "ion", mz_tolerance), ("rt_child", "rt_parent", rt_tolerance)], [("sample", "sample_p")])
+    pairs = pairs.where(F.col("mz_parent") > F.col("mz_child"))
     return pairs.groupBy("child").agg(F.min(F.struct("mz_parent", "parent"))["parent"].alias("parent"))
 
 
@@ -175,11 +175,10 @@ def loss_consensus(peaks: DataFrame, channel: str, gap: float = 0.01, reach: flo
 def dominated(features: DataFrame, mz_tolerance: float, rt_tolerance: float) -> DataFrame:
     """Features that no close one beats: a taller one does, of equal height the later id."""
     other = features.select(F.col("sample").alias("s2"), F.col("id").alias("id2"), F.col("mz").alias("mz2"), F.col("rt").alias("rt2"), F.col("height").alias("h2"))
-    wide = features.withColumn("__b", F.floor(F.col("mz") / mz_tolerance))
-    near = other.withColumn("__c", F.explode(F.array(*[F.floor(F.col("mz2") / mz_tolerance) + d for d in (-1, 0, 1)])))
     beats = (F.col("h2") > F.col("height")) | ((F.col("h2") == F.col("height")) & (F.col("id2") > F.col("id")))
-    test = (F.col("__b") == F.col("__c")) & (F.col("sample") == F.col("s2")) & (F.abs(F.col("mz") - F.col("mz2")) <= mz_tolerance) & (F.abs(F.col("rt") - F.col("rt2")) <= rt_tolerance) & beats
-    return wide.join(near, test, "left_anti").drop("__b")
+    pairs = box_join(features, other, [("mz", "mz2", mz_tolerance), ("rt", "rt2", rt_tolerance)], [("sample", "s2")])
+    beaten = pairs.where(beats).select("sample", "id").distinct()
+    return features.join(beaten, ["sample", "id"], "left_anti").select(*features.columns)
 
 
 def interpolate(rows: DataFrame, x: str, knots: DataFrame, name: str, width: float) -> DataFrame:

@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float, on: list[tuple[str, str]] | None = None, how: str = "inner") -> DataFrame:
-    """Pairs with ``abs(left_key - right_key) <= tolerance`` (and equal ``on`` columns).
+def box_join(left: DataFrame, right: DataFrame, bands: list[tuple[str, str, float | Column]], on: list[tuple[str, str]] | None = None, how: str = "inner", widths: list[float] | None = None) -> DataFrame:
+    """Pairs that are within the tolerance in every band (left column, right column, tolerance) and equal in the ``on`` columns.
 
-    Both sides get a bucket of width ``tolerance``; the right side is repeated in three neighbouring
-    buckets, so that the join is an equi-join with a residual test. Column names must differ.
+    Each band is cut into cells ``widths`` wide (four tolerances by default, so that most right rows lie in one or two). A left row is in one cell of
+    the box, a right row in all that its tolerances reach; so the join is an equi-join on the cells of all bands with a residual
+    test. A tolerance may be a column of the right side if its width is given. Column names must differ.
     """
-    wide = max(tolerance, 1e-9)
-    lefts = left.withColumn("__b", F.floor(F.col(left_key) / wide).cast("long"))
-    rights = right.withColumn("__c", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor(F.col(right_key) / wide).cast("long") + d)))
-    test = (F.col("__b") == F.col("__c")) & (F.abs(F.col(left_key) - F.col(right_key)) <= tolerance)
+    lefts, rights, test = left, right, F.lit(True)
+    for i, (x, y, tolerance) in enumerate(bands):
+        wide = widths[i] if widths else max(4 * tolerance, 1e-9)
+        reach = (F.lit(tolerance) if isinstance(tolerance, (int, float)) else tolerance) * (1 + 1e-9) + F.abs(F.col(y)) * 1e-12  # rounding must lose no pair
+        cell = lambda v, wide=wide: F.floor(v / wide).cast("long")
+        lefts = lefts.withColumn(f"__b{i}", cell(F.col(x)))
+        rights = rights.withColumn(f"__c{i}", F.explode(F.sequence(cell(F.col(y) - reach), cell(F.col(y) + reach))))
+        test = test & (F.col(f"__b{i}") == F.col(f"__c{i}")) & (F.abs(F.col(x) - F.col(y)) <= tolerance)
     for a, b in on or []:
         test = test & (F.col(a) == F.col(b))
-    return lefts.join(rights, test, how).drop("__b", "__c")
+    return lefts.join(rights, test, how).drop(*(f"__{c}{i}" for c in "bc" for i in range(len(bands))))
+
+
+def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float, on: list[tuple[str, str]] | None = None, how: str = "inner") -> DataFrame:
+    """Pairs with ``abs(left_key - right_key) <= tolerance`` (and equal ``on`` columns), by ``box_join``."""
+    return box_join(left, right, [(left_key, right_key, tolerance)], on, how)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float, keys: list[str], ties: list[Column], on: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -31,7 +41,8 @@ def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 def islands(rows: DataFrame, groups: list[str], order: list[str], gap: float, name: str = "island") -> DataFrame:
     """Number the runs of each group whose neighbours in ``order[0]`` are at most ``gap`` apart, from 0.
 
-    Rows that are equal in all of ``order`` are peers and share a run.
+    Rows that are equal in all of ``order`` are peers and share a run. A group is sorted in one task: it is to be bounded, as a spectrum or a
+    component is.
     """
     window = Window.partitionBy(*groups).orderBy(*order)
     jump = (F.col(order[0]) - F.lag(order[0]).over(window) > gap).cast("int")

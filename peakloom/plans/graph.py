@@ -1,8 +1,8 @@
-"""Connected components of an edge table as iterated joins."""
+"""Connected components of an edge table as iterated joins, and blocks of linked rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.session import materialize, release
@@ -33,3 +33,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = state
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def linked_blocks(rows: DataFrame, node: Column, edges: DataFrame, name: str = "block") -> DataFrame:
+    """Add ``name``: the component of each row in the graph of ``edges`` (a, b) between nodes, its own node where it has no edge.
+
+    Steps that depend on order look at linked rows only, so they can run on each block by itself.
+    """
+    roots = connected_components(edges)
+    named = rows.withColumn("__node", node)
+    return named.join(roots, F.col("__node") == F.col("node"), "left").withColumn(name, F.coalesce("root", "__node")).drop("node", "root", "__node")

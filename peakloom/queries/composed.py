@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from peakloom import stages
 from peakloom.operators import alignment as A
-from peakloom.operators import kernelled as G
 from peakloom.operators import relations as R
 from peakloom.operators import separation as Z
 from peakloom.operators import spectra as S
@@ -49,7 +48,7 @@ def regions(spark, sf_dir):
 
 @query("tk05_merged_regions")
 def _(spark, sf_dir):
-    return Z.merge_regions(G.blocks(regions(spark, sf_dir), ["sample"], 0.1), ["sample", "block"], 0.2).drop("block")
+    return Z.merge_regions(regions(spark, sf_dir), ["sample"], 0.2)
 
 
 @query("tk03_slice_twins")
