@@ -95,7 +95,8 @@ def align_samples(features: DataFrame, reference: str | None = None, mz_toleranc
     rows = near_blocks(features.join(F.broadcast(order), "sample"), ["route"], mz_tolerance, rt_tolerance, ("sample",))  # one row a sample
     spectra = "peaks" in features.columns
     if spectra:
-        rows = rows.withColumns({"ions": F.transform("peaks", lambda p: p["mz"]), "heights": F.transform("peaks", lambda p: p["intensity"])})
+        none = F.array().cast("array<double>")  # a feature without a spectrum
+        rows = rows.withColumns({"ions": F.coalesce(F.transform("peaks", lambda p: p["mz"]), none), "heights": F.coalesce(F.transform("peaks", lambda p: p["intensity"]), none)})
 
     def kernel(rank, id, mz, rt, height, ions=None, heights=None):
         found = Block(rank, id, mz, rt, height, ions, heights, mz_tolerance, rt_tolerance).align()

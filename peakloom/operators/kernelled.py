@@ -7,6 +7,7 @@ step looks at; so no placement can look beyond its block, and a block is no larg
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,8 @@ def envelope_edges(features: DataFrame, base: float, rt_tolerance: float, charge
     """(a, b): pairs that a walk over an envelope may step between: 1 to ``most`` carbon steps of some charge apart, within the error that steps gather."""
     from peakloom.kernels.clusters import CARBON
 
-    goals = F.array(*[F.struct(F.lit(n * CARBON / k).alias("step"), F.lit(n).alias("n")) for k in range(1, charges + 1) for n in range(1, most + 1)])
+    steps = {Fraction(n, k): n for k in range(1, charges + 1) for n in range(1, most + 1)}  # of equal steps the one of most error
+    goals = F.array(*[F.struct(F.lit(float(f) * CARBON).alias("step"), F.lit(n).alias("n")) for f, n in steps.items()])
     light = features.select(F.xxhash64("sample", "id").alias("a"), F.col("sample").alias("sample_a"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.explode(goals).alias("g"))
     light = light.select("a", "sample_a", "rt_a", (F.col("mz_a") + F.col("g.step")).alias("goal"), (F.greatest(F.col("mz_a") * base / 200, F.lit(base)) * F.col("g.n")).alias("wide"))
     heavy = features.select(F.xxhash64("sample", "id").alias("b"), F.col("sample").alias("sample_b"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"))

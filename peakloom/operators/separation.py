@@ -93,3 +93,59 @@ def drop_slice_twins(peaks: DataFrame, keys: list[str], tolerance: float, cap: f
         return [{"id": int(i)} for i in id[slice_redundancy(slice, mz, apex, left, right, height, tolerance, cap)]]
 
     return map_groups(peaks, keys, ["slice", "apex", "id"], ["id", "slice", "mz", "left", "right", "apex", "height"], kernel, "id long")
+
+
+def running_mean_eics(points: DataFrame, keys: list[str], channel: str, tolerance: float = 0.02, least_intensity: float = 10.0, least_scans: int = 3, ppm: float = 100.0) -> DataFrame:
+    """Chromatograms of a channel's product ions by running-mean bins: keys, mz (of the bin), scan and intensity.
+
+    A group is the centroids of one channel of one run. Bins are made of points of at least ``least_intensity`` and as wide as ``tolerance`` or
+    ``ppm`` of the channel, whichever is more; bins with signal in fewer than ``least_scans`` scans are left out.
+    """
+    from peakloom.kernels.bins import binned_maxima, running_mean_bins
+
+    def kernel(mz, scan, intensity, __channel):
+        wide = max(tolerance, float(__channel[0]) * ppm * 1e-6)
+        strong = intensity >= least_intensity
+        bins = running_mean_bins(mz[strong], intensity[strong], wide)
+        if not len(bins):
+            return []
+        place, at, value = binned_maxima(bins, mz, scan, intensity, wide)
+        held = value > 0
+        place, at, value = place[held], at[held], value[held]
+        enough = np.bincount(place, minlength=len(bins)) >= least_scans
+        return [{"mz": float(bins[p]), "scan": int(s), "intensity": float(v)} for p, s, v in zip(place, at, value) if enough[p]]
+
+    rows = points.withColumn("__channel", F.col(channel).cast("double"))
+    return map_groups(rows, keys, ["mz", "scan", "intensity"], ["mz", "scan", "intensity", "__channel"], kernel, "mz double, scan long, intensity double")
+
+
+def recall_ions(series: DataFrame, clusters: DataFrame, keys: list[str], channel: str, **options) -> DataFrame:
+    """Further ions of each cluster: keys, id, mz and height.
+
+    ``series`` has keys, ion (m/z), scan, rt and intensity of every ion of a channel; ``clusters`` has keys, id, rt and mzs (the ions that the cluster
+    has). An ion alive around a cluster's centre is recalled unless another cluster's centre is nearer to its local top; 50 a cluster at most.
+    """
+    from peakloom.kernels.ions import recall
+
+    others = clusters.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "rt", "mzs"))).alias("__c"))
+    others = others.select(*keys, F.transform("__c", lambda c: c["id"]).alias("ids"), F.transform("__c", lambda c: c["rt"]).alias("centres"), F.transform("__c", lambda c: c["mzs"]).alias("mzs"))
+    rows = series.join(others, keys).withColumn("__channel", F.col(channel).cast("double"))
+
+    def kernel(ion, scan, rt, intensity, ids, centres, mzs, __channel):
+        ions, scans, traces = matrix(ion, scan, intensity)
+        times = _times(scan, rt, scans)
+        out = []
+        for k, centre in enumerate(centres[0]):
+            rest = [float(c) for j, c in enumerate(centres[0]) if j != k]
+            taken = {round(float(m) * 200) for m in mzs[0][k]}
+            out += [{"id": int(ids[0][k]), "mz": m, "height": h} for m, h in recall(ions, traces, times, float(centre), rest, taken, float(__channel[0]), **options)]
+        return out
+
+    return map_groups(rows, keys, ["ion", "scan"], ["ion", "scan", "rt", "intensity", "ids", "centres", "mzs", "__channel"], kernel, "id long, mz double, height double")
+
+
+def _times(scan: np.ndarray, rt: np.ndarray, scans: np.ndarray) -> np.ndarray:
+    """The RT of each of the sorted scans."""
+    out = np.zeros(len(scans))
+    out[np.searchsorted(scans, scan)] = rt
+    return out

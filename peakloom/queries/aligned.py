@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from peakloom.operators import alignment as A
 from peakloom.operators import chromatogram as C
 from peakloom.operators import extraction as X
 from peakloom.operators import kernelled as G
-from peakloom.queries.base import chromatograms, features, points, query, scaled
+from peakloom.operators import summaries as U
+from peakloom.queries.base import chromatograms, features, points, query, scaled, spectra
 from peakloom.session import table
 
 
@@ -23,14 +23,20 @@ def _(spark, sf_dir):
     return G.smooth_series(chromatograms(spark, sf_dir), ["channel"], "savgol", window=7, order=2)
 
 
+def bells(spark, sf_dir):
+    """The chromatograms as a ripple on a bell every ten days, so that there are peaks to find."""
+    bell = F.exp(-F.pow((F.col("scan") % 240 - 120) / 6, 2)) * 2000
+    return chromatograms(spark, sf_dir).withColumn("intensity", bell + F.col("intensity") % 20)
+
+
 @query("wn13_builtin_peaks")
 def _(spark, sf_dir):
-    return G.detect_peaks(chromatograms(spark, sf_dir), ["channel"], "builtin", least=10.0, points=2, fold=0.0)
+    return G.detect_peaks(bells(spark, sf_dir), ["channel"], "builtin", least=10.0, points=2, fold=0.0)
 
 
 @query("wn14_derivative_peaks")
 def _(spark, sf_dir):
-    return G.detect_peaks(chromatograms(spark, sf_dir), ["channel"], "derivative", amplitude=100.0, amplitude_fold=0.5)
+    return G.detect_peaks(bells(spark, sf_dir), ["channel"], "derivative", amplitude=100.0)
 
 
 def day_peaks():
@@ -126,7 +132,7 @@ def _(spark, sf_dir):
 
 @query("jn18_reference_assignment")
 def _(spark, sf_dir):
-    return A.align_to_reference(features(spark, sf_dir), "1-URGENT", 0.05, 1.0)
+    return A.align_to_reference(features(spark, sf_dir), "1-URGENT", 0.01, 0.2)
 
 
 @query("cl09_reconciled_spots")
@@ -163,12 +169,12 @@ def _(spark, sf_dir):
 
 @query("ag18_spot_noise", f"WITH {_SPOT} SELECT spot, round(max(height / sn), 4) AS noise FROM sp WHERE sn > 0 AND status = 'detected' GROUP BY spot", "features")
 def _(spark, sf_dir):
-    return spot_peaks(spark, sf_dir).where("sn > 0 AND status = 'detected'").groupBy("spot").agg(F.round(F.max(F.col("height") / F.col("sn")), 4).alias("noise"))
+    return U.spot_noise(spot_peaks(spark, sf_dir)).withColumn("noise", F.round("noise", 4))
 
 
 @query("ag20_counters", f"WITH {_SPOT} SELECT route, status, sample, count(*) AS n FROM sp GROUP BY ALL", "features")
 def _(spark, sf_dir):
-    return spot_peaks(spark, sf_dir).groupBy("route", "status", "sample").agg(F.count("*").alias("n"))
+    return U.counters(spot_peaks(spark, sf_dir), ["route", "status", "sample"])
 
 
 @query("ag21_group_namespace", "SELECT id, (dense_rank() OVER (ORDER BY sample) - 1) * 1000000 + spot AS global_group FROM features", "features")
@@ -199,22 +205,18 @@ def _(spark, sf_dir):
 
 @query("snk09_spot_map", f"WITH {_SPOT} SELECT id, spot, first_value(id) OVER (PARTITION BY spot ORDER BY height DESC, id) AS representative, CASE WHEN row_number() OVER (PARTITION BY spot ORDER BY height DESC, id) = 1 THEN 'representative' ELSE 'member' END AS reason FROM sp", "features")
 def _(spark, sf_dir):
-    w = Window.partitionBy("spot").orderBy(F.desc("height"), "id")
-    reason = F.when(F.row_number().over(w) == 1, "representative").otherwise("member")
-    return spot_peaks(spark, sf_dir).select("id", "spot", F.first("id").over(w).alias("representative"), reason.alias("reason"))
+    return U.spot_map(spot_peaks(spark, sf_dir))
 
 
 @query("snk10_notes", "SELECT spot, string_agg(DISTINCT route, '|' ORDER BY route) AS tags, bool_or(route = 'F') AS verified FROM features GROUP BY spot", "features")
 def _(spark, sf_dir):
-    return features(spark, sf_dir).groupBy("spot").agg(F.array_join(F.sort_array(F.collect_set("route")), "|").alias("tags"), F.max(F.col("route") == "F").alias("verified"))
+    return U.note_rows(features(spark, sf_dir), "spot", "route", F.col("route") == "F")
 
 
 @query("cl10_set_operations", f"""WITH {_SPOT}, d AS (SELECT spot, array_agg(DISTINCT sample) FILTER (status = 'detected') AS det, array_agg(DISTINCT sample) FILTER (status = 'filled') AS fil FROM sp GROUP BY spot)
     SELECT spot, coalesce(len(list_filter(fil, lambda x: NOT list_contains(coalesce(det, []), x))), 0) AS only_filled, coalesce(list_has_any(det, fil), false) AS overlap, len(list_distinct(list_concat(coalesce(det, []), coalesce(fil, [])))) AS every FROM d""", "features")
 def _(spark, sf_dir):
-    of = lambda s: F.collect_set(F.when(F.col("status") == s, F.col("sample")))
-    d = spot_peaks(spark, sf_dir).groupBy("spot").agg(of("detected").alias("det"), of("filled").alias("fil"))
-    return d.select("spot", F.size(F.array_except("fil", "det")).cast("long").alias("only_filled"), F.arrays_overlap("det", "fil").alias("overlap"), F.size(F.array_union("det", "fil")).cast("long").alias("every"))
+    return U.sample_sets(spot_peaks(spark, sf_dir))
 
 
 _BOUNDS = "b AS (SELECT *, rt - height % 7 / 10 AS l, rt + height % 5 / 10 AS r FROM features)"
@@ -253,10 +255,19 @@ def _(spark, sf_dir):
 
 @query("ag12_feature_gaussian", "SELECT spot, coalesce(min(CASE WHEN rt - 5 > 0 THEN rt - 5 END), 0) AS gaussian FROM features GROUP BY spot", "features")
 def _(spark, sf_dir):
-    value = F.col("rt") - 5
-    return features(spark, sf_dir).groupBy("spot").agg(F.coalesce(F.min(F.when((value > 0) & ~F.isnan(value), value)), F.lit(0.0)).alias("gaussian"))
+    return U.least_shape(features(spark, sf_dir), ["spot"], F.col("rt") - 5)
 
 
+# The quality classes of ions: return flags A high, R middle, N low.
 @query("ag17_scan_sharpness", "SELECT scan, max(intensity) AS sharpness FROM points WHERE run IN ('A', 'R') GROUP BY scan", "points")
 def _(spark, sf_dir):
-    return points(spark, sf_dir).where("run IN ('A', 'R')").groupBy("scan").agg(F.max("intensity").alias("sharpness"))
+    quality = F.when(F.col("run") == "A", "high").when(F.col("run") == "R", "middle").otherwise("low")
+    return U.scan_sharpness(points(spark, sf_dir).withColumn("quality", quality), ["scan"], value="intensity")
+
+
+@query("flt12_admitted", "SELECT id FROM features JOIN (SELECT spec_id FROM spectra GROUP BY spec_id HAVING count(*) + count(*) FILTER (intensity > 45) >= 4 AND count(*) FILTER (intensity > 5) >= 3 AND max(intensity) FILTER (intensity > 5) >= 40) ON id = spec_id", "features spectra")
+def _(spark, sf_dir):
+    ions = spectra(spark, sf_dir).withColumnRenamed("spec_id", "id")
+    enough = U.admitted(features(spark, sf_dir), ions, ions.where("intensity > 45"), ions.where("intensity > 5"), 3, 40.0)
+    pairs = U.admitted(enough, ions, ions.where("intensity > 45"), None, 4, 0.0)
+    return pairs.select("id")

@@ -9,7 +9,9 @@ from peakloom.operators import alignment as A
 from peakloom.operators import relations as R
 from peakloom.operators import separation as Z
 from peakloom.operators import spectra as S
+from peakloom.operators import summaries as U
 from peakloom.queries.base import chromatograms, features, points, query, spectra
+from peakloom.queries.spectral import ALL_SCORES
 from peakloom.queries.spectral import candidates
 from peakloom.session import materialize, scratch, table
 from peakloom.sources import libraries, mzml
@@ -104,13 +106,12 @@ def _(spark, sf_dir):
 
 @query("snk11_blocked_audit", "SELECT sample, count(*) AS blocked, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS digest FROM features WHERE route = 'P' GROUP BY sample", "features")
 def _(spark, sf_dir):
-    ids = F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string"))
-    return features(spark, sf_dir).where("route = 'P'").groupBy("sample").agg(F.count("*").alias("blocked"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("digest"))
+    return U.blocked_audit(features(spark, sf_dir).where("route = 'P'"), ["sample"])
 
 
-@query("jn08_boundary_duplicates")
+@query("jn08_boundary_duplicates", ALL_SCORES + " SELECT query_id, ref_id, round(least(cosine, 1), 6) AS score FROM sc WHERE cosine >= 0.6e0 AND query_id < ref_id", "library")
 def _(spark, sf_dir):
-    return stages.boundary_duplicates(candidates(spark, sf_dir), 0.8)
+    return stages.boundary_duplicates(candidates(spark, sf_dir), 0.6).withColumn("score", F.round("score", 6))
 
 
 @query("jn17_alias_edges", """SELECT a.id AS a, b.id AS b FROM features a JOIN features b ON a.sample = b.sample AND a.route = 'F' AND b.route = 'O' AND abs(a.mz - b.mz) <= 5e-1 AND abs(a.rt - b.rt) <= 1e0
@@ -153,3 +154,69 @@ def _(spark, sf_dir):
     heads = A.spot_centres(f).select(F.format_string("F%05d", "spot").alias("feature_id"), "mz", "rt")
     cells = f.groupBy("spot", "sample").agg(F.max("height").alias("height"), F.sum("height").alias("area"), F.lit("detected").alias("status"))
     return feature_matrix(heads, materialize(cells.select(F.format_string("F%05d", "spot").alias("feature_id"), "sample", "height", "area", "status"), "cells"))
+
+
+@query("src17_projects", "SELECT c_custkey AS note, c_mktsegment AS tag, c_acctbal > 0 AS verified FROM customer")
+def _(spark, sf_dir):
+    from peakloom.sources import projects
+
+    folder = scratch(spark, "project")
+    notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("note"), F.col("c_mktsegment").alias("tag"), (F.col("c_acctbal") > 0).alias("verified"))
+    projects.save_project({"notes": notes, "spots": notes.select("note")}, folder)
+    return projects.load_notes(spark, folder).join(projects.load_project(spark, folder)["spots"], "note", "left_semi")
+
+
+@query("ag03_running_mean_eics")
+def _(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("channel", F.floor(F.col("mz") / 50) * 50)
+    return Z.running_mean_eics(p, ["run", "channel"], "channel", 0.02, 10.0, 3)
+
+
+@query("tk07_recalled_ions")
+def _(spark, sf_dir):
+    series = windows(spark, sf_dir).withColumns({"rt": F.col("scan") / 60, "channel": F.lit(400)})
+    found = spark.createDataFrame([(1, 0.5, [1.0]), (2, 1.5, [2.0, 3.0])], "id long, rt double, mzs array<double>")  # two clusters a week
+    clusters = series.select("week", "channel").distinct().join(F.broadcast(found))
+    return Z.recall_ions(series, clusters, ["week", "channel"], "channel", run=2).select("week", "id", "mz", "height")
+
+
+def product_points(spark, sf_dir):
+    """Each channel of the events as a sample whose bells three fragments share."""
+    from peakloom.queries.aligned import bells
+
+    ions = F.array(*[F.struct(F.lit(m).alias("mz"), F.lit(f).alias("f")) for m, f in ((100.05, 1.0), (150.07, 0.7), (210.1, 0.4))])
+    rows = bells(spark, sf_dir).withColumn("x", F.explode(ions))
+    return rows.select(F.col("channel").alias("sample"), F.lit(400).alias("channel"), "scan", (F.col("scan") / 60).alias("rt"), F.col("x.mz").alias("mz"), (F.col("intensity") * F.col("x.f")).alias("intensity"))
+
+
+@query("st1_product_features")
+def _(spark, sf_dir):
+    found, _ = stages.detect_from_products(product_points(spark, sf_dir), amplitude=50.0, least_base=100.0, tolerance=0.05, span=0.1)
+    return found
+
+
+@query("st2_survey_masses")
+def _(spark, sf_dir):
+    f = features(spark, sf_dir).withColumns({"channel": F.round("mz").cast("long"), "left": F.col("rt") - F.col("height") % 7 / 50, "right": F.col("rt") + F.col("height") % 5 / 50})
+    survey = f.select("sample", F.floor(F.col("rt") * 20).alias("scan"), (F.floor(F.col("rt") * 20) / 20).alias("rt"), "mz", F.col("height").alias("intensity"))
+    told = stages.assign_survey(f.where("route = 'O'").select("sample", "channel", "id", "rt", "left", "right"), f.where("route = 'F' AND id % 2 = 0"), f.where("route = 'F' AND id % 2 = 1"), survey, 0.1)
+    return told.select("sample", "channel", "id", "survey_mz", "mz_source", "mz_confidence", "signal_type")
+
+
+@query("st25_inferred_masses")
+def _(spark, sf_dir):
+    ions = spectra(spark, sf_dir).withColumnRenamed("spec_id", "id")
+    f = ions.groupBy("id").agg((F.floor(F.max("mz")) + 18).alias("channel"), F.count("*").alias("n_fragments"))
+    empty = F.lit("")
+    lacking = f.withColumns({"signal_type": F.lit("ms2_only"), "mz_source": empty, "mz_confidence": empty})
+    hits = f.where("id % 10 = 0").select("id", (F.col("channel") + 0.25).alias("precursor"))
+    return stages.infer_masses(lacking, ions, hits).select("id", "channel", "inferred_mz", "mz_source", "mz_confidence")
+
+
+@query("st7_gap_fills")
+def _(spark, sf_dir):
+    from peakloom.queries.aligned import bells
+
+    traces = bells(spark, sf_dir).select(F.lit(1).alias("spot"), F.col("channel").alias("sample"), "scan", "intensity")
+    members = traces.where("sample IN ('click', 'view') AND scan = 120").select("spot", "sample", (F.col("scan") / 60).alias("rt"))  # the spot is seated in two samples
+    return stages.fill_spots(members, traces, traces)

@@ -211,15 +211,17 @@ def _(spark, sf_dir):
 
 @query("flt14_display_filter", "SELECT id, row_number() OVER (ORDER BY route, mz DESC, id) AS place FROM features WHERE route <> 'P' AND contains(lower(sample || ' ' || route), 'urg')", "features")
 def _(spark, sf_dir):
-    some = features(spark, sf_dir).where("route != 'P'").where(F.lower(F.concat_ws(" ", "sample", "route")).contains("urg"))
-    from peakloom.operators.alignment import number_rows
+    from peakloom.operators import summaries as U
 
-    return number_rows(some, [F.col("route"), F.desc("mz"), F.col("id")]).select("id", (F.col("number") + 1).alias("place"))
+    order = [F.col("route"), F.desc("mz"), F.col("id")]
+    return U.display_rows(features(spark, sf_dir), order, hide=F.col("route") == "P", text="Urg", columns=["sample", "route"]).select("id", "place")
 
 
 @query("flt16_rt_window", "SELECT id FROM features WHERE rt BETWEEN 3 AND 20", "features")
 def _(spark, sf_dir):
-    return features(spark, sf_dir).where("rt BETWEEN 3 AND 20").select("id")
+    from peakloom.operators import summaries as U
+
+    return U.in_rt_window(features(spark, sf_dir), 3.0, 20.0).select("id")
 
 
 @query("tk10_spot_order", "SELECT id, printf('F%05d', row_number() OVER (ORDER BY mz, rt, id) - 1) AS feature_id FROM features", "features")

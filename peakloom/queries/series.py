@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peakloom.operators import chromatogram as C
 from peakloom.operators import extraction as X
+from peakloom.operators import summaries as U
 from peakloom.queries.base import chromatograms, points, query, raw_chromatograms, scaled, spectra
 from peakloom.session import table
 
@@ -123,8 +124,7 @@ def _(spark, sf_dir):
 
 @query("flt02_min_scans", """SELECT run, CAST(floor(mz) AS BIGINT) AS cell, count(DISTINCT scan) AS scans FROM points WHERE intensity > 0 GROUP BY 1, 2 HAVING count(DISTINCT scan) >= 5""", "points")
 def _(spark, sf_dir):
-    out = points(spark, sf_dir).where("intensity > 0").groupBy("run", F.floor("mz").alias("cell")).agg(F.count_distinct("scan").alias("scans"))
-    return out.where("scans >= 5")
+    return U.enough_scans(points(spark, sf_dir), ["run", F.floor("mz").alias("cell")], 5)
 
 
 _W3 = "WINDOW w AS (PARTITION BY channel ORDER BY scan)"

@@ -121,7 +121,7 @@ _MATCH = """m AS (SELECT query_id, ref_id, count(*) AS n, sum(x.intensity * y.in
     FROM cand JOIN lib x ON x.spec_id = query_id JOIN lib y ON y.spec_id = ref_id AND y.mz = x.mz JOIN (SELECT spec_id AS xi, max(intensity) AS xt FROM lib GROUP BY 1) ON xi = query_id JOIN (SELECT spec_id AS yi, max(intensity) AS yt FROM lib GROUP BY 1) ON yi = ref_id GROUP BY ALL),
     st AS (SELECT spec_id, count(*) AS peaks, sum(intensity * intensity) AS sq, sum(intensity / top) AS rel, sum(intensity / top * mz) AS mass, count(*) FILTER (intensity >= top * 1e-2) AS strong FROM (SELECT *, max(intensity) OVER (PARTITION BY spec_id) AS top FROM lib) GROUP BY spec_id),
     sc AS (SELECT m.query_id, m.ref_id, n, total / sqrt(q.sq * r.sq) AS cosine, cw * cw / (q.mass * r.mass) AS wdp, cs * cs / (q.rel * r.rel) AS sdp, cw * cw / (mq * r.mass) AS rdp, sig / r.strong AS pct, q.peaks AS qn, r.peaks AS rn, total FROM m JOIN st q ON q.spec_id = query_id JOIN st r ON r.spec_id = ref_id)"""
-_ALL = f"WITH {_LIB}, {_SPEC}, {_CAND}, {_MATCH}"
+ALL_SCORES = _ALL = f"WITH {_LIB}, {_SPEC}, {_CAND}, {_MATCH}"
 
 
 def reference(spark, sf_dir):
@@ -155,16 +155,27 @@ def _(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("sc03_modified_cosine")
+# Precursors 0.015 apart at most, so that rounding moves no pair of grid points across the tolerance of 0.02.
+_NEAR = _CAND.replace("2e-2", "1.5e-2")
+
+
+def near_candidates(spark, sf_dir):
+    spec = reference(spark, sf_dir)
+    return L.candidates(spec, spec, 0.015).where("query_id != ref_id")
+
+
+@query("sc03_modified_cosine", f"""WITH {_LIB}, {_SPEC}, {_NEAR}, far AS (SELECT * FROM lib WHERE abs(mz - precursor) > 1.5e0), w AS (SELECT spec_id, sum(intensity * intensity) AS sq FROM far GROUP BY 1),
+    p AS (SELECT query_id, ref_id, count(*) AS n, sum(x.intensity * y.intensity) AS total FROM cand JOIN far x ON x.spec_id = query_id JOIN far y ON y.spec_id = ref_id AND y.mz = x.mz GROUP BY ALL)
+    SELECT query_id, ref_id, n AS n_matched, round(least(total / sqrt(q.sq * r.sq), 1), 6) AS score FROM p JOIN w q ON q.spec_id = query_id JOIN w r ON r.spec_id = ref_id""", "library")
 def _(spark, sf_dir):
     kernel = lambda ma, ia, mb, ib, p, q: dict(zip(("score", "n_matched"), K.modified_cosine(ma, ia, mb, ib, p, q, 0.02)))
-    return S.score_pairs(candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"])
+    return S.score_pairs(near_candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"]).withColumn("score", F.round("score", 6))
 
 
-@query("sc04_neutral_loss_cosine")
+@query("sc04_neutral_loss_cosine", f"WITH {_LIB}, {_SPEC}, {_NEAR}, {_MATCH} SELECT query_id, ref_id, n AS n_matched, round(least(cosine, 1), 6) AS score FROM sc", "library")
 def _(spark, sf_dir):
     kernel = lambda ma, ia, mb, ib, p, q: dict(zip(("score", "n_matched"), K.neutral_loss_cosine(ma, ia, mb, ib, p + 600, q + 600, 0.02)))
-    return S.score_pairs(candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"])
+    return S.score_pairs(near_candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"]).withColumn("score", F.round("score", 6))
 
 
 def composites(spark, sf_dir):

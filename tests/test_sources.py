@@ -152,3 +152,84 @@ def test_stages(spark, folder):
     assert marked.count() == 4 and not marked.where("is_duplicate").count()
     spots, members = stages.build_spots(features)
     assert [(r.feature_id, r.n_detected) for r in spots.orderBy("feature_id").collect()] == [("F00000", 2), ("F00001", 2)] and members.count() == 4
+
+
+def test_detection_from_products_and_masses(spark, folder):
+    cycles = mzml.load_cycles(mzml.read_mzml(spark, str(folder)))
+    points = mzml.long_points(cycles).select(F.regexp_extract("path", r"_(\d)\.mzML", 1).alias("sample"), F.col("cycle").alias("scan"), "rt", "ms_level", "window", "mz", "intensity")
+    products = points.where("ms_level = 2").withColumnRenamed("window", "channel")
+    features, ions = stages.detect_from_products(products)
+    rows = [(r.sample, r.channel, round(r.rt, 1), r.n_fragments) for r in features.collect()]
+    assert sorted(rows) == [("1", 100, 1.0, 2), ("2", 100, 1.0, 2)]  # the other channel has one fragment only
+    assert sorted({round(r.mz) for r in ions.collect()}) == [50, 60]
+    survey = points.where("ms_level = 1")
+    peak = features.select("sample", "channel", F.col("id").alias("id"), F.lit(100.2).alias("mz"), "rt", "left", "right", F.lit(9000.0).alias("height"))
+    none = peak.where("false")
+    both = [stages.assign_survey(features, a, b, survey).collect() for a, b in ((peak, none), (none, peak), (none, none))]
+    assert [{r.mz_source for r in x} for x in both] == [{"ms1"}, {"ms1_relaxed"}, {"ms1_lowres"}]
+    assert all(abs(r.survey_mz - 100.2) < 1e-6 for x in both for r in x) and {r.signal_type for r in both[2]} == {"ms2_only"}
+
+
+def test_inference(spark):
+    features = spark.createDataFrame([(1, 180, "ms2_only", "", "", 3), (2, 180, "ms2_only", "", "", 1), (3, 180, "ms1_detected", "ms1", "high", 1), (4, 180, "ms2_only", "", "", 5)], "id long, channel long, signal_type string, mz_source string, mz_confidence string, n_fragments long")
+    ions = spark.createDataFrame([(1, 180.06 - 18.01056, 50.0), (1, 180.06 - 36.02113, 30.0), (1, 180.06 - 43.98983, 20.0), (4, 33.0, 1.0)], "id long, mz double, intensity double")
+    found = {r.id: r for r in stages.infer_masses(features, ions).collect()}
+    assert set(found) == {1, 3, 4} and abs(found[1].inferred_mz - 180.06) < 1e-6 and (found[1].mz_source, found[1].mz_confidence) == ("nl_consensus", "high")
+    assert found[3].mz_source == "ms1" and found[4].inferred_mz is None
+    hits = spark.createDataFrame([(4, 180.5)], "id long, precursor double")
+    assert {r.id: r.mz_source for r in stages.infer_masses(features, ions, hits).collect()}[4] == "library"
+
+
+def test_running_mean_bins(spark):
+    from peakloom.operators import separation
+
+    rows = [("r", 100, s, m, 100.0 + s) for s in range(4) for m in (50.0, 50.015, 50.4)] + [("r", 100, 9, 70.0, 500.0), ("r", 100, 0, 50.03, 5.0)]
+    points = spark.createDataFrame(rows, "run string, channel long, scan long, mz double, intensity double")
+    found = separation.running_mean_eics(points, ["run", "channel"], "channel").collect()
+    bins = sorted({round(r.mz, 4) for r in found})
+    assert bins == [50.0075, 50.4] and len(found) == 8
+    assert {r.scan: r.intensity for r in found if r.mz < 50.1} == {s: 100.0 + s for s in range(4)}
+
+
+def test_recall(spark):
+    from peakloom.operators import separation
+
+    bell = lambda s, c: 1000 * float(np.exp(-0.5 * ((s - c) / 2) ** 2))
+    rows = [("r", 100, m, s, s * 0.01, bell(s, c)) for m, c in ((50.0, 20), (60.0, 20), (70.0, 40), (99.5, 20)) for s in range(60)]
+    series = spark.createDataFrame(rows, "run string, channel long, ion double, scan long, rt double, intensity double")
+    clusters = spark.createDataFrame([("r", 100, 1, 0.2, [50.0]), ("r", 100, 2, 0.4, [])], "run string, channel long, id long, rt double, mzs array<double>")
+    found = sorted((r.id, r.mz) for r in separation.recall_ions(series, clusters, ["run", "channel"], "channel").collect())
+    assert found == [(1, 60.0), (2, 70.0)]  # 50 is taken, 99.5 is the precursor's
+
+
+def test_projects(spark, tmp_path):
+    from peakloom.sources import projects
+
+    folder = str(tmp_path / "p")
+    notes = spark.createDataFrame([(1, "good")], "id long, tag string")
+    with pytest.raises(FileNotFoundError):
+        projects.load_project(spark, folder)
+    assert projects.load_notes(spark, folder) is None
+    projects.save_project({"notes": notes, "spots": notes}, folder)
+    assert projects.load_notes(spark, folder).collect() == notes.collect() and set(projects.load_project(spark, folder)) == {"notes", "spots"}
+    projects.save_project({"notes": notes}, folder, version=projects.VERSION + 1)
+    assert projects.load_notes(spark, folder) is None
+    with pytest.warns(UserWarning):
+        assert set(projects.load_project(spark, folder)) == {"notes"}
+
+
+def test_whole_run(spark, folder, tmp_path):
+    from peakloom import engine
+
+    work, heard = str(tmp_path / "w"), []
+    library = spark.createDataFrame([(1, 100.21, [(50.0, 100.0), (60.0, 66.0)]), (2, 100.2, [(20.0, 5.0)])], "spec_id long, precursor double, peaks array<struct<mz:double,intensity:double>>")
+    out = engine.run(spark, str(folder), work, library=library, progress=heard.append)
+    spots = out["spots"].collect()
+    assert heard == ["detect", "align", "export"] and [r.n_detected for r in spots] == [2] * len(spots) and len(spots) == 2
+    assert sorted(round(r.mz, 1) for r in spots) == [100.2, 101.3] and out["cells"].count() == 4
+    assert spark.read.option("header", True).csv(f"{work}/features.csv").count() == 2
+    stored = spark.read.parquet(f"{work}/_manifest").count()
+    with pytest.raises(engine.Cancelled):
+        engine.run(spark, str(folder), work, progress=lambda s: s != "align")
+    assert spark.read.parquet(f"{work}/_manifest").count() == stored == 2  # nothing was made anew
+    assert engine.reannotate(spark, work, library).count() == 2
