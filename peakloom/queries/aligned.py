@@ -92,7 +92,7 @@ def _(spark, sf_dir):
 @query("cl06_isotope_envelopes")
 def _(spark, sf_dir):
     varied = features(spark, sf_dir).withColumn("height", (F.col("id") * 7919 % 10007).cast("double"))  # heights that do not rise with m/z
-    return G.isotope_envelopes(varied, 0.02, 0.1)
+    return G.isotope_envelopes(varied, 0.005, 0.05)
 
 
 @query("tk04_proximity_dedup")
