@@ -89,7 +89,7 @@ class Model:
             self.sums, self.counts, self.names = (np.r_[x, np.zeros_like(x)] for x in (self.sums, self.counts, self.names))
         total, count = 0.0, 0
         for rows in segments(w, len(self.weight)):
-            total += float(self.weight[rows].sum())
+            total += float(self.weight[rows].sum(dtype=np.float64))
             count += len(rows)
         self.known[w], self.sums[at], self.counts[at], self.names[at] = at, total, count, zlib.crc32(w)
         self.held += len(w)
