@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.text import ascii_lower
+from peakloom.llm.text import ascii_lower, whole
+from peakloom.session import materialize, release
 
 MAX_WORDS, FILTER_WORDS = 1 << 20, 1 << 18
 WORD, MASK, DIGEST, KEEP, SIZE, LIVE = "__bloom_word", "__bloom_mask", "__digest", "__keep", "__size", "__live"
@@ -88,12 +89,29 @@ def mark_digests(hashed: DataFrame, id_col: str = "doc_id", max_words: int = MAX
     return single.unionByName(dealt)
 
 
+def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text (by hash: doc_id, text_name) are not among the lost ones; texts shuffle only where a Bloom filter says they may be."""
+    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_name").alias("__lost_text"))
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]).withColumn("__name", text_name(own[text_col]))
+    probed = possibly(rows, lost, "__name", "__lost_text")
+    kept = probed.where("maybe").join(lost, F.col(own[id_col]).eqNullSafe(F.col("__lost")) & (F.col("__name") == F.col("__lost_text")), "left_anti")
+    return probed.where("NOT maybe").unionByName(kept).select(*[F.col(v).alias(k) for k, v in own.items()])
+
+
+def text_name(text_col: str) -> Column:
+    """A 64-bit name of a text; with an id it tells rows apart."""
+    return F.xxhash64(whole(text_col).cast("binary"), F.lit(17))
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay, with its own columns."""
-    hashed = docs.withColumn("text_sha256", digest(text_col)) if "text_sha256" not in {c.lower() for c in docs.columns} else None
-    if hashed is None:  # the caller's own column of that name is kept aside
-        own = docs.withColumnRenamed("text_sha256", "__own_sha256")
-        return drop_duplicates(own, id_col, text_col, max_words).withColumnRenamed("__own_sha256", "text_sha256").select(*docs.columns)
-    clash = {c: f"__own_{c.lower()}" for c in docs.columns if c.lower() in OUTPUT}
-    marked = mark_digests(hashed.withColumnsRenamed(clash), id_col, max_words).where("kept")
-    return marked.drop("keep_id", "group_size", "kept", "text_sha256").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    """The rows of ``docs`` that ``mark_duplicates`` keeps, with its own columns, whatever their names.
+
+    Whole texts are hashed once: ids and digests are written, and all passes read these. Texts shuffle only where a filter of the rows that go
+    says that they may be among them.
+    """
+    names = docs.select(F.col(id_col).alias("doc_id"), text_name(text_col).alias("text_name"), digest(text_col).alias("text_sha256"))
+    names = materialize(names, "digests")
+    lost = materialize(mark_digests(names, "doc_id", max_words).where("NOT kept").select("doc_id", "text_name").distinct(), "lost")
+    release(names)
+    return without(docs, lost, id_col, text_col)

@@ -21,10 +21,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.exact_dedup import possibly
+from peakloom.llm.exact_dedup import possibly, text_name, without
 from peakloom.llm.text import bounded_batches, map_rows, whole
 from peakloom.plans.graph import connected_components
 from peakloom.session import materialize, release
@@ -485,21 +485,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return without(docs, lost, id_col, text_col)
 
 
-def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id and text (by hash) are not among the lost ones; texts shuffle only where a Bloom filter says they may be."""
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_name").alias("__lost_text"))
-    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]).withColumn("__name", text_name(own[text_col]))
-    probed = possibly(rows, lost, "__name", "__lost_text")
-    kept = probed.where("maybe").join(lost, (F.col(own[id_col]) == F.col("__lost")) & (F.col("__name") == F.col("__lost_text")), "left_anti")
-    return probed.where("NOT maybe").unionByName(kept).select(*[F.col(v).alias(k) for k, v in own.items()])
-
-
-def text_name(text_col: str) -> Column:
-    """A 64-bit name of a text; with an id it tells rows apart."""
-    return F.xxhash64(whole(text_col).cast("binary"), F.lit(17))
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class of ``near_duplicates``.
 
