@@ -61,22 +61,27 @@ def place(share, knots):
     return float(np.interp(share, done / done[-1], grid))
 
 
-def test_mix(docs):
+def plain_mix(rows):
+    """size, source_size, target, taken and position by doc_id of rows (doc_id, text, source)."""
     by_source, sizes = defaultdict(list), Counter()
-    for r in docs.select("doc_id", "text", "source").collect():
-        n = len(WORD.findall(r.text or ""))
-        h = xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42))
-        by_source[r.source].append((h >> 1, r.doc_id, n))
-        sizes[r.source] += n
+    for d, text, source in rows:
+        n = len(WORD.findall(text or ""))
+        h = xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42))
+        by_source[source].append((h >> 1, d, n))
+        sizes[source] += n
     goals = mix_targets(dict(sizes))
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
     want = {}
-    for k, source in enumerate(order):
+    for k, source in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
         start, goal = 0, int(goals[source] + 0.5)
         for _, d, n in sorted(by_source[source]):
             taken = sum(max(0, min(n, goal - sizes[source] * lap - start)) for lap in range(2))
             want[d] = (n, sizes[source], round(goals[source], 6), taken, place(start / goals[source], mixing.SCHEDULES[k % 3]) if taken else None)
             start += n
+    return want
+
+
+def test_mix(docs):
+    want = plain_mix([(r.doc_id, r.text, r.source) for r in docs.collect()])
     found = mixing.mix_plan(docs).collect()
     assert len(found) == len(want)
     for r in found:
