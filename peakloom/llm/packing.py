@@ -46,9 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
-        self.merger = Tokenizer.from_file(path)
-        self.merger.normalizer = None
-        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.merging = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -58,7 +57,12 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Remember the ids of lower-case words; lines whose ids can't be cut apart are encoded word by word."""
         lines = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        for some, e in zip(lines, self.merger.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.merging  # the one vocabulary serves both ways
+        try:
+            merged = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+        for some, e in zip(lines, merged):
             ids = np.asarray(e.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(some):
@@ -126,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         counts = pa.array([len(x) // width + 1 for x in ids], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), counts, pa.array([width] * len(ids), pa.int32())], names=["doc_id", "ids", "doc_tokens", "width"])
 
-    return map_rows(rows, kernel, rows.select("doc_id").schema.add("ids", "binary").add("doc_tokens", "long").add("width", "integer"), "__text", 2 << 20)
+    return map_rows(rows, kernel, rows.select("doc_id").schema.add("ids", "binary").add("doc_tokens", "long").add("width", "integer"), "__text", 1 << 20)
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:

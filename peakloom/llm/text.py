@@ -54,8 +54,11 @@ def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand Arrow batches of ``rows`` rows at most to Python, where the session allows more."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Hand Arrow batches of ``rows`` rows and about ``size`` bytes at most to Python, where the session allows more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= size:
+        spark.conf.set(key, f"{size}b")
