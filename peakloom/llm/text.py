@@ -60,5 +60,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20)
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= size:
+    have = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < have <= size:
         spark.conf.set(key, f"{size}b")
