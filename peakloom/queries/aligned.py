@@ -18,9 +18,11 @@ def _(spark, sf_dir):
     return G.smooth_series(chromatograms(spark, sf_dir), ["channel"], "moving_average", window=5).select("channel", F.col("scan").cast("int").alias("scan"), F.round("smooth", 5).alias("smooth"))
 
 
-@query("wn07_savitzky_golay")
+@query("wn07_savitzky_golay", """WITH m AS (SELECT c.channel, c.scan, greatest(3, least(716, c.scan)) AS mid FROM chrom c), w AS (SELECT m.channel, m.scan, m.scan - m.mid AS z, sum(x.intensity) AS s0, sum((x.scan - m.mid) * x.intensity) AS s1,
+    sum((x.scan - m.mid) * (x.scan - m.mid) * x.intensity) AS s2 FROM m JOIN chrom x ON x.channel = m.channel AND x.scan BETWEEN m.mid - 3 AND m.mid + 3 GROUP BY ALL)
+    SELECT channel, CAST(scan AS BIGINT) AS scan, round(greatest(0, (7 * s0 - s2) / 21 + s1 / 28 * z + (s2 - 4 * s0) / 84 * z * z), 5) AS smooth FROM w""", "chrom")
 def _(spark, sf_dir):
-    return G.smooth_series(chromatograms(spark, sf_dir), ["channel"], "savgol", window=7, order=2)
+    return G.smooth_series(chromatograms(spark, sf_dir), ["channel"], "savgol", window=7, order=2).select("channel", "scan", F.round("smooth", 5).alias("smooth"))
 
 
 def bells(spark, sf_dir):
