@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakloom.kernels import similarity as K
 from peakloom.operators import library as L
 from peakloom.operators import spectra as S
 from peakloom.queries.base import library, query, spectra
@@ -142,44 +141,37 @@ def _(spark, sf_dir):
 
 @query("jn01_greedy_match", _ALL + " SELECT query_id, ref_id, n AS n_matched, total FROM m", "library")
 def _(spark, sf_dir):
-    def kernel(ma, ia, mb, ib):
-        total, n = K.product(ma, ia, mb, ib, 0.02)
-        return {"n_matched": n, "total": total}
-
-    return S.score_pairs(candidates(spark, sf_dir), kernel, "n_matched long, total double", ["query_id", "ref_id"])
+    spec = reference(spark, sf_dir)
+    return L.products(spec, spec, 0.02, 0.02)
 
 
 @query("sc02_cosine", _ALL + " SELECT query_id, ref_id, n AS n_matched, round(least(cosine, 1), 6) AS score FROM sc", "library")
 def _(spark, sf_dir):
-    out = S.score_pairs(candidates(spark, sf_dir), lambda *x: dict(zip(("score", "n_matched"), K.cosine(*x, 0.02))), "n_matched long, score double", ["query_id", "ref_id"])
-    return out.withColumn("score", F.round("score", 6))
+    spec = reference(spark, sf_dir)
+    return L.cosines(spec, spec, 0.02, 0.02).withColumn("score", F.round("score", 6))
 
 
 # Precursors 0.015 apart at most, so that rounding moves no pair of grid points across the tolerance of 0.02.
 _NEAR = _CAND.replace("2e-2", "1.5e-2")
 
 
-def near_candidates(spark, sf_dir):
-    spec = reference(spark, sf_dir)
-    return L.candidates(spec, spec, 0.015).where("query_id != ref_id")
-
-
 @query("sc03_modified_cosine", f"""WITH {_LIB}, {_SPEC}, {_NEAR}, far AS (SELECT * FROM lib WHERE abs(mz - precursor) > 1.5e0), w AS (SELECT spec_id, sum(intensity * intensity) AS sq FROM far GROUP BY 1),
     p AS (SELECT query_id, ref_id, count(*) AS n, sum(x.intensity * y.intensity) AS total FROM cand JOIN far x ON x.spec_id = query_id JOIN far y ON y.spec_id = ref_id AND y.mz = x.mz GROUP BY ALL)
     SELECT query_id, ref_id, n AS n_matched, round(least(total / sqrt(q.sq * r.sq), 1), 6) AS score FROM p JOIN w q ON q.spec_id = query_id JOIN w r ON r.spec_id = ref_id""", "library")
 def _(spark, sf_dir):
-    kernel = lambda ma, ia, mb, ib, p, q: dict(zip(("score", "n_matched"), K.modified_cosine(ma, ia, mb, ib, p, q, 0.02)))
-    return S.score_pairs(near_candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"]).withColumn("score", F.round("score", 6))
+    spec = reference(spark, sf_dir)
+    return L.modified_cosines(spec, spec, 0.015, 0.02).withColumn("score", F.round("score", 6))
 
 
 @query("sc04_neutral_loss_cosine", f"WITH {_LIB}, {_SPEC}, {_NEAR}, {_MATCH} SELECT query_id, ref_id, n AS n_matched, round(least(cosine, 1), 6) AS score FROM sc", "library")
 def _(spark, sf_dir):
-    kernel = lambda ma, ia, mb, ib, p, q: dict(zip(("score", "n_matched"), K.neutral_loss_cosine(ma, ia, mb, ib, p + 600, q + 600, 0.02)))
-    return S.score_pairs(near_candidates(spark, sf_dir), kernel, "n_matched long, score double", ["query_id", "ref_id"], ["query_mz", "ref_mz"]).withColumn("score", F.round("score", 6))
+    spec = reference(spark, sf_dir)
+    return L.loss_cosines(spec, spec, 0.015, 0.02, 600).withColumn("score", F.round("score", 6))
 
 
 def composites(spark, sf_dir):
-    return L.composite_scores(candidates(spark, sf_dir), 0.02)
+    spec = reference(spark, sf_dir)
+    return L.composite_scores(spec, spec, 0.02, 0.02)
 
 
 @query("sc05_dot_products", _ALL + " SELECT query_id, ref_id, round(least(wdp, 1), 6) AS wdp, round(least(sdp, 1), 6) AS sdp, round(least(rdp, 1), 6) AS rdp FROM sc", "library")
@@ -214,16 +206,14 @@ def _(spark, sf_dir):
 
 @query("sc09_identity", _ALL + " SELECT query_id, ref_id, CASE WHEN least(qn, rn) < 3 THEN 'UNJUDGEABLE' WHEN round(cosine, 6) >= 0.7e0 AND n >= 3 THEN 'SAME' ELSE 'DIFFERENT' END AS state FROM sc", "library")
 def _(spark, sf_dir):
-    def kernel(*x):
-        state, score, n = K.identity(*x, 0.02, 0.0)
-        return {"state": state if state == "UNJUDGEABLE" or round(score, 6) >= 0.7 else "DIFFERENT"}
-
-    return S.score_pairs(candidates(spark, sf_dir), kernel, "state string", ["query_id", "ref_id"])
+    spec = reference(spark, sf_dir)
+    return L.identities(spec, spec, 0.02, 0.02, 0.7)
 
 
 @query("sc11_upper_bound", _ALL + " SELECT query_id, ref_id, round(pct, 6) AS bound FROM sc", "library")
 def _(spark, sf_dir):
-    return L.matched_bound(candidates(spark, sf_dir), 0.02).select("query_id", "ref_id", F.round("bound", 6).alias("bound"))
+    spec = reference(spark, sf_dir)
+    return L.matched_bound(spec, spec, 0.02, 0.02).select("query_id", "ref_id", F.round("bound", 6).alias("bound"))
 
 
 @query("sc12_library_index", f"""WITH {_LIB}, {_SPEC}, c AS (SELECT spec_id, CAST(round_even(precursor, 0) AS INT) AS cell, count(*) AS peaks FROM lib GROUP BY ALL)
@@ -251,17 +241,20 @@ def _(spark, sf_dir):
     s AS (SELECT query_id, ref_id, count(*) AS m, sum(wa * wb) AS ab, sum(least(ratio, 1 / ratio)) / (count(*) - 1) AS fr FROM r GROUP BY ALL), t AS (SELECT spec_id, sum(intensity * pow(mz, 4)) AS sq, count(*) AS n FROM lib GROUP BY 1)
     SELECT query_id, ref_id, round(((q.n + p.n - m) * (ab * ab / (q.sq * p.sq)) + m * fr) / (q.n + p.n - m + m), 6) AS score FROM s JOIN t q ON q.spec_id = query_id JOIN t p ON p.spec_id = ref_id WHERE m >= 3""", "library")
 def _(spark, sf_dir):
-    return L.boosted_cosine(candidates(spark, sf_dir), 3).select("query_id", "ref_id", F.round("score", 6).alias("score"))
+    spec = reference(spark, sf_dir)
+    return L.boosted_cosine(spec, spec, 0.02, 3).select("query_id", "ref_id", F.round("score", 6).alias("score"))
 
 
 @query("sc10_gcms_match_factor")
 def _(spark, sf_dir):
-    return L.match_factors(candidates(spark, sf_dir), 0.02)
+    spec = reference(spark, sf_dir)
+    return L.match_factors(spec, spec, 0.02, 0.02)
 
 
 @query("flt15_best_variant", _ALL + " SELECT query_id, arg_max(ref_id, {'c': round(cosine, 6), 'r': -ref_id}) AS ref_id FROM sc GROUP BY query_id", "library")
 def _(spark, sf_dir):
-    out = S.score_pairs(candidates(spark, sf_dir), lambda *x: {"score": K.cosine(*x, 0.02)[0]}, "score double", ["query_id", "ref_id"])
+    spec = reference(spark, sf_dir)
+    out = L.cosines(spec, spec, 0.02, 0.02)
     return out.groupBy("query_id").agg(F.max_by("ref_id", F.struct(F.round("score", 6), -F.col("ref_id"))).alias("ref_id"))
 
 
