@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -82,20 +83,46 @@ def representative_mz(spectra: DataFrame, keys: list[str], flagged: Column, shar
     return top.groupBy(*keys).agg(F.coalesce(heaviest(strong & clean), heaviest(clean), heaviest(strong), F.max("mz")).alias("rep_mz"))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """The double with so many decimals as C prints it: its exact binary value rounded, halves to even.
+
+    ``format_string`` rounds the shortest decimal form instead, halves up. The product with the power of ten and its rounding error are
+    split exactly (Dekker); beyond 2^52, where doubles are whole, and for what is not finite the plain format stays.
+    """
+    power = float(10**places)
+    x = F.abs(value)
+    spread = x * 134217729.0
+    high = spread - (spread - x)
+    scaled = x * power
+    error = (high * power - scaled) + (x - high) * power
+    floor = F.floor(scaled)
+    over = (scaled - floor.cast("double") - 0.5) + error
+    n = floor + F.when((over > 0) | ((over == 0) & (floor % 2 == 1)), 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    if places:
+        digits = F.lpad(n.cast("string"), 20, "0")
+        body = F.concat(((n - n % int(power)) / power).cast("long").cast("string"), F.lit("."), F.substring(digits, 21 - places, places))
+    else:
+        body = n.cast("string")
+    return F.when(scaled < 4503599627370496.0, F.concat(sign, body)).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def joined(peaks: Column, form: str, separator: str) -> Column:
-    """The peaks as text."""
-    return F.array_join(F.transform(peaks, lambda p: F.format_string(form, p["mz"], p["intensity"])), separator)
+    """The peaks as text; ``form`` has one %.nf for the m/z and one for the intensity."""
+    head, one, between, two, tail = re.fullmatch(r"(.*?)%\.(\d)f(.*?)%\.(\d)f(.*)", form, re.S).groups()
+    text = lambda p: F.concat(F.lit(head), fixed(p["mz"], int(one)), F.lit(between), fixed(p["intensity"], int(two)), F.lit(tail))
+    return F.array_join(F.transform(peaks, text), separator)
 
 
 def msp_record(name: Column, precursor: Column, rt: Column, peaks: Column) -> Column:
     """One record of an MSP file."""
-    head = F.concat_ws("\n", F.concat(F.lit("NAME: "), name), F.format_string("PRECURSORMZ: %.5f", precursor), F.format_string("RETENTIONTIME: %.7f", rt), F.format_string("Num Peaks: %d", F.size(peaks)))
+    head = F.concat_ws("\n", F.concat(F.lit("NAME: "), name), F.concat(F.lit("PRECURSORMZ: "), fixed(precursor, 5)), F.concat(F.lit("RETENTIONTIME: "), fixed(rt, 7)), F.format_string("Num Peaks: %d", F.size(peaks)))
     return F.concat(head, F.lit("\n"), joined(peaks, "%.5f\t%.0f", "\n"), F.lit("\n"))
 
 
 def mgf_record(title: Column, precursor: Column, rt_minutes: Column, peaks: Column) -> Column:
     """One record of an MGF file; retention times are written in seconds."""
-    head = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("TITLE="), title), F.format_string("PEPMASS=%.5f", precursor), F.format_string("RTINSECONDS=%.1f", rt_minutes * 60))
+    head = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("TITLE="), title), F.concat(F.lit("PEPMASS="), fixed(precursor, 5)), F.concat(F.lit("RTINSECONDS="), fixed(rt_minutes * 60, 1)))
     return F.concat(head, F.lit("\n"), joined(peaks, "%.5f %.1f", "\n"), F.lit("\nEND IONS\n"))
 
 
