@@ -151,26 +151,15 @@ def reconcile_spots(spots: DataFrame, mz_gate: float, rt_gate: float) -> DataFra
 def exclusive_assignment(features: DataFrame, peaks: DataFrame, rt_tolerance: float, weight: float = 0.3) -> DataFrame:
     """(sample, channel, id, peak): best-first 1:1 assignment of MS1 peaks to features by RT and overlap, per channel.
 
-    Both sides have sample, channel, id, rt, left, right; only candidate pairs that share a feature or peak, in chains, meet in a group.
+    Both sides have sample, channel, id, rt, left, right. Pairs are scored where both sides of a channel meet in order of RT, and none is written.
     """
-    from peakloom.kernels.clusters import exclusive_pairs
-    from peakloom.operators.kernelled import map_groups
-    from peakloom.operators.relations import overlap_ratio
-    from peakloom.plans.bands import band_join
-    from peakloom.plans.graph import linked_blocks
-
-    other = peaks.select(*[F.col(c).alias(f"{c}_p") for c in ("sample", "channel", "id", "rt", "left", "right")])
-    pairs = band_join(features, other, "rt", "rt_p", rt_tolerance, [("sample", "sample_p"), ("channel", "channel_p")])
-    close = 1 - F.abs(F.col("rt") - F.col("rt_p")) / rt_tolerance
-    pairs = pairs.withColumn("score", F.round((1 - weight) * close + weight * overlap_ratio(F.col("left"), F.col("right"), F.col("left_p"), F.col("right_p")), 9))
-
-    def kernel(score, id, id_p):
-        return [{"id": int(id[k]), "peak": int(id_p[k])} for k in exclusive_pairs(score, id, id_p)]
+    from peakloom.kernels.sweeps import Assignment
+    from peakloom.operators.kernelled import stream_groups
 
-    pairs = materialize(pairs.select("sample", "channel", "id", "id_p", "score"), "assignment-pairs")
-    own = F.xxhash64("sample", "channel", F.lit(0), "id")
-    rows = linked_blocks(pairs, own, pairs.select(own.alias("a"), F.xxhash64("sample", "channel", F.lit(1), "id_p").alias("b")))
-    return map_groups(rows, ["sample", "channel", "block"], ["id", "id_p"], ["score", "id", "id_p"], kernel, "id long, peak long").drop("block")
+    side = lambda df, k: df.select("sample", "channel", F.lit(k).alias("side"), "id", *[F.col(c).cast("double").alias(c) for c in ("rt", "left", "right")])
+    rows = side(features, 0).unionByName(side(peaks, 1)).where("sample IS NOT NULL AND channel IS NOT NULL AND abs(rt) < double('Infinity')")
+    columns = ["side", "id", "rt", "left", "right"]
+    return stream_groups(rows, ["sample", "channel"], ["rt", "side", "id"], columns, lambda: Assignment(rt_tolerance, weight), "id long, peak long")
 
 
 def routed_segment(spots: DataFrame, segments: DataFrame) -> DataFrame:

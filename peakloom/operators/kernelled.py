@@ -1,4 +1,4 @@
-"""Order-dependent operators: one group a row, its members as arrays, many groups in an Arrow batch.
+"""Order-dependent operators: groups reach Python as sorted rows and are taken one after the other.
 
 Groups are bounded by nature (the scans of a chromatogram) or are blocks of features that are linked, in chains, by the pairs that the
 step looks at; so no placement can look beyond its block, and a block is no larger than the features that truly compete.
@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,7 @@ from peakloom.plans import graph
 from peakloom.plans.bands import box_join
 from peakloom.plans.graph import linked_blocks
 
+PIECE = 100_000  # rows after which results are handed on
 PEAK = "apex long, left long, right long, height double, area double, sn double, shape double"
 
 
@@ -26,34 +28,103 @@ def schema_of(df: DataFrame, keys: list[str], more: str) -> StructType:
     return StructType(df.select(*keys).schema.fields + df.sparkSession.createDataFrame([], more).schema.fields)
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable[..., list[dict]], result: str) -> DataFrame:
-    """Apply ``kernel(**arrays)`` to each group; arrays follow ``order`` and each returned dict is a row of ``result``."""
+def stream_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], object], result: str, ranged: bool = False) -> DataFrame:
+    """Feed the rows of each group, in ``order``, to an object of ``start()``: pieces of ``columns`` to ``feed``, then ``finish()``.
+
+    Both return columns of ``result`` by name (arrays or lists) or None. Rows reach Python one by one, sorted, so memory is that of a piece and of
+    what the object keeps. ``ranged`` spreads few large groups by ranges, where hashes would put several into one task.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     wanted = list(dict.fromkeys([*order, *columns]))
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*wanted))).alias("__rows"))
     schema = schema_of(df, keys, result)
+    arrow = {f.name: to_arrow_type(f.dataType) for f in schema.fields}
     names = [f.name for f in schema.fields[len(keys) :]]
-    kinds = {f.name: f.dataType for f in schema.fields}
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = {n: to_arrow_type(kinds[n]) for n in names}
+    rows = df.select(*dict.fromkeys([*keys, *wanted]))
+    rows = (rows.repartitionByRange(*keys) if ranged else rows.repartition(*keys)).sortWithinPartitions(*dict.fromkeys([*keys, *wanted]))
 
     def run(batches):
+        owners, counts, found = [], [], {n: [] for n in names}
+
+        def put(key, piece):
+            if piece is None or not len(piece[names[0]]):
+                return
+            owners.append(key)
+            counts.append(len(piece[names[0]]))
+            for n in names:
+                if isinstance(piece[n], list) and found[n] and isinstance(found[n][-1], list):
+                    found[n][-1] += piece[n]
+                else:
+                    found[n].append(piece[n])
+
+        def flush():
+            at = pa.array(np.repeat(np.arange(len(owners)), counts))
+            out = [pa.array([o[i] for o in owners], arrow[k]).take(at) for i, k in enumerate(keys)]
+            out += [pa.concat_arrays([pa.array(x, arrow[n]) for x in found[n]]) for n in names]
+            owners.clear(), counts.clear(), [x.clear() for x in found.values()]
+            return pa.RecordBatch.from_arrays(out, names=[*keys, *names])
+
+        now, group = None, None
         for batch in batches:
-            flat = batch.column("__rows").flatten()
-            ends = np.cumsum([len(x) for x in batch.column("__rows")])
-            values = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in columns}
-            found, owner, begin = [], [], 0
-            for i, end in enumerate(ends.tolist()):
-                mine = kernel(**{c: v[begin:end] for c, v in values.items()})
-                found += mine
-                owner += [i] * len(mine)
-                begin = end
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array([r[n] for r in found], arrow[n]) for n in names)], names=[*keys, *names])
+            if not batch.num_rows:
+                continue
+            held = [batch.column(k) for k in keys]
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            begins = [0, *changes(held).tolist()]
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+                key = tuple(h[begin].as_py() for h in held)
+                if group is None or (begin or not all(x == y or (x != x and y != y) for x, y in zip(key, now))):
+                    if group is not None:
+                        put(now, group.finish())
+                    now, group = key, start()
+                put(now, group.feed(**{c: v[begin:end] for c, v in values.items()}))
+                if sum(counts) > PIECE:
+                    yield flush()
+            if owners:
+                yield flush()
+        if group is not None:
+            put(now, group.finish())
+            if owners:
+                yield flush()
 
     return rows.mapInArrow(run, schema)
 
 
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """Rows where any of the columns differs from the row before; nulls are equal, and so are NaN."""
+    n = len(columns[0]) if columns else 0
+    out = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        one, two = c[1:], c[:-1]
+        differ = pc.fill_null(pc.not_equal(one, two), False)
+        if pa.types.is_floating(c.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(two)), False))
+        out |= pc.or_(differ, pc.not_equal(pc.is_null(one), pc.is_null(two))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(out) + 1
+
+
+class Whole:
+    """A group that its kernel sees at once."""
+
+    def __init__(self, kernel: Callable[..., list[dict] | dict]) -> None:
+        self.kernel, self.pieces = kernel, []
+
+    def feed(self, **arrays) -> None:
+        self.pieces.append(arrays)
+
+    def finish(self) -> dict | None:
+        one = self.pieces[0] if len(self.pieces) == 1 else {c: np.concatenate([p[c] for p in self.pieces]) for c in self.pieces[0]}
+        found = self.kernel(**one)
+        if isinstance(found, dict):
+            return found
+        return {n: [r[n] for r in found] for n in found[0]} if found else None
+
+
+def map_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable[..., list[dict] | dict], result: str) -> DataFrame:
+    """Apply ``kernel(**arrays)`` to each group; arrays follow ``order``, and each returned dict is a row of ``result`` (or one dict has its columns)."""
+    return stream_groups(df, keys, order, columns, lambda: Whole(kernel), result)
+
+
 def detect_peaks(series: DataFrame, keys: list[str], detector: str = "derivative", minutes: float = 1 / 60, **options) -> DataFrame:
     """Peaks of each chromatogram (scan, intensity) by the derivative or the builtin detector."""
     from peakloom.kernels import peaks as P

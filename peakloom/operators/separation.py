@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.operators.kernelled import map_groups
+from peakloom.operators.kernelled import map_groups, stream_groups
 from peakloom.plans.bands import box_join
 from peakloom.plans.graph import linked_blocks
 
