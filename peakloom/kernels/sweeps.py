@@ -36,6 +36,105 @@ def joined(pieces: list[dict]) -> dict:
     return pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
 
 
+class Survivors:
+    """Ids of the rows that stay when of any two that match, taken by the lighter and then the heavier one, the taller stays; rows by m/z.
+
+    A pair is decided after all pairs that could decide one of its rows before it in that order; taking pairs by the heavier row first keeps all
+    of them before it, so only rows in reach that still stay are held.
+    """
+
+    BLOCK = 512
+
+    def __init__(self) -> None:
+        self.wait, self.size, self.held = [], 0, None
+
+    def feed(self, **rows) -> dict | None:
+        sound = np.isfinite(np.asarray(rows["mz"], float))
+        out = [] if sound.all() else [rows["id"][~sound]]  # near nothing
+        if sound.any():
+            self.wait.append(rows if sound.all() else rows_of(rows, sound))
+            self.size += int(sound.sum())
+        if self.size >= self.BLOCK:
+            out += self.settle()
+        return {"id": np.concatenate(out)} if out else None
+
+    def finish(self) -> dict | None:
+        out = self.settle() if self.wait else []
+        if self.held is not None:
+            out.append(self.held["id"])
+        return {"id": np.concatenate(out)} if out else None
+
+    def settle(self) -> list[np.ndarray]:
+        every, out = joined(self.wait), []
+        self.wait, self.size = [], 0
+        begin, step = 0, self.BLOCK
+        while begin < len(every["id"]):
+            block = rows_of(every, slice(begin, begin + step))
+            old = self.held
+            if old is not None:
+                near = ~self.beyond(old["mz"], block["mz"][0])
+                if not near.all():
+                    out.append(old["id"][~near])
+                    old = rows_of(old, near)
+            both = block if old is None else joined([old, block])
+            found = self.matches(both, len(both["id"]) - len(block["id"]), step > 1)
+            if found is None:
+                self.held, step = old, max(1, step // 2)
+                continue
+            i, j = found
+            keep, taller = bytearray(b"\1") * len(both["id"]), (both["height"][i] >= both["height"][j]).tolist()
+            for a, b, light in zip(i.tolist(), j.tolist(), taller):
+                if keep[a] and keep[b]:
+                    keep[b if light else a] = 0
+            self.held = rows_of(both, np.frombuffer(keep, np.uint8) > 0)
+            begin += len(block["id"])
+        return out
+
+    def pairs(self, both: dict, left: np.ndarray, right: np.ndarray, first: int, bounded: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """(i, j), i before j, of rows whose times ``left`` to ``right`` meet, j from ``first`` on; None if there are too many at once."""
+        order = np.argsort(left, kind="stable")
+        widths = right - left
+        widest = np.max(widths[np.isfinite(widths)], initial=0.0)
+        mine = np.arange(first, len(left))
+        slack = 1e-9 * (1 + np.abs(left[mine]))
+        low = np.searchsorted(left[order], left[mine] - widest - slack, "left")
+        high = np.searchsorted(left[order], right[mine] + slack, "right")
+        if bounded and np.maximum(high - low, 0).sum() > PAIRS:
+            return None
+        j, i = spread(low, high)
+        i, j = order[i], mine[j]
+        return i[i < j], j[i < j]
+
+
+class MergedRegions(Survivors):
+    """As ``ions.merge_regions``: regions within ``share`` of a slice match if their apexes are close or their times mostly coincide."""
+
+    def __init__(self, width: float, share: float = 0.5, cap: float = 0.1, overlap: float = 0.8) -> None:
+        super().__init__()
+        self.reach, self.cap, self.overlap = width * share, cap, overlap
+
+    def beyond(self, mz, ahead):
+        return ahead - mz > self.reach
+
+    def matches(self, both: dict, first: int, bounded: bool):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = self.pairs(both, both["left"], both["right"], first, bounded)
+            if found is None:
+                return None
+            i, j = found
+            near = both["mz"][j] - both["mz"][i] <= self.reach
+            i, j = i[near], j[near]
+            left_i, left_j, right_i, right_j = both["left"][i], both["left"][j], both["right"][i], both["right"][j]
+            half = np.minimum((right_i - left_i + right_j - left_j) / 4, self.cap)
+            half = np.where(half == 0, self.cap, half)
+            shared, narrow = np.minimum(right_i, right_j) - np.maximum(left_i, left_j), np.minimum(right_i - left_i, right_j - left_j)
+            cover = np.where(shared <= 0, 0.0, np.where(narrow <= 0, 1.0, shared / narrow))
+            hit = (right_i >= left_j) & (right_j >= left_i) & ((np.abs(both["apex"][i] - both["apex"][j]) <= half) | (cover >= self.overlap))
+        i, j = i[hit], j[hit]
+        order = np.lexsort((i, j))
+        return i[order], j[order]
+
+
 def billionths(x: np.ndarray) -> np.ndarray:
     """Numbers of at least 0 as whole billionths, halves of their shortest decimal form rounded up."""
     scaled = x * 1e9

@@ -72,17 +72,10 @@ def coelution_verdicts(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame, keys: list[str], width: float, share: float = 0.5) -> DataFrame:
-    """Ids of the regions (id, mz, left, right, apex, height) that stay; regions that overlap in time and are close in m/z, in chains, meet in a block."""
-    from peakloom.kernels.ions import merge_regions as merge
+    """Ids of the regions (id, mz, left, right, apex, height) that stay, by one sweep of each group from low to high m/z."""
+    from peakloom.kernels.sweeps import MergedRegions
 
-    def kernel(id, mz, left, right, apex, height):
-        return [{"id": int(i)} for i in id[merge(mz, left, right, apex, height, width, share)]]
-
-    side = lambda tag: regions.select(F.xxhash64(*keys, "id").alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in [*keys, "mz", "left", "right"]])
-    pairs = box_join(side("a"), side("b"), [("mz_a", "mz_b", width * share)], [(f"{k}_a", f"{k}_b") for k in keys])
-    edges = pairs.where("a < b AND right_a >= left_b AND right_b >= left_a").select("a", "b")
-    rows = linked_blocks(regions, F.xxhash64(*keys, "id"), edges)
-    return map_groups(rows, [*keys, "block"], ["mz", "id"], ["id", "mz", "left", "right", "apex", "height"], kernel, "id long").drop("block")
+    return stream_groups(regions, keys, ["mz", "id"], ["id", "mz", "left", "right", "apex", "height"], lambda: MergedRegions(width, share), "id long", ranged=True)
 
 
 def drop_slice_twins(peaks: DataFrame, keys: list[str], tolerance: float, cap: float) -> DataFrame:

@@ -63,3 +63,25 @@ def test_scores_round_as_spark_does(spark):
     values = [0.1234567885, 0.0000000005, 0.25, 0.7 * 0.3, 0.5000000015, 0.0000000025, 1 / 3]
     want = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9).alias("x")).collect()]
     assert (sweeps.billionths(np.array(values)) / 1e9).tolist() == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merged_regions(seed, monkeypatch):
+    monkeypatch.setattr(sweeps, "PAIRS", 300)
+    monkeypatch.setattr(sweeps.Survivors, "BLOCK", 64)
+    rng = np.random.default_rng(seed)
+    n = 400
+    mz = np.sort(rng.integers(0, 100, n) / 50)
+    apex, half = rng.uniform(0, 3, n), rng.integers(0, 7, n) / 20
+    rows = {"id": np.arange(n), "mz": mz, "left": apex - half, "right": apex + half, "apex": apex, "height": rng.integers(0, 50, n).astype(float)}
+    want = np.flatnonzero(ions.merge_regions(mz, rows["left"], rows["right"], apex, rows["height"], 0.2))
+    assert sorted(swept(sweeps.MergedRegions(0.2), rows, seed)["id"].tolist()) == want.tolist() and len(want) < n
+
+
+def test_regions_meet_without_pairs(spark):
+    from peakloom.operators.separation import merge_regions
+
+    rows = spark.range(5000).selectExpr("'s' AS sample", "id", "100D AS mz", "0.9D AS left", "1.1D AS right", "1D AS apex", "double(id) AS height")
+    out = merge_regions(rows, ["sample"], 0.2)
+    assert "Join" not in plan(out)  # 12 million pairs linked them before
+    assert [r.id for r in out.collect()] == [4999]
