@@ -135,6 +135,124 @@ class MergedRegions(Survivors):
         return i[order], j[order]
 
 
+class EnvelopeWalk:
+    """(id, mono, step) as ``clusters.isotope_envelopes`` finds them; rows by (m/z, id).
+
+    Rows are kept by cells of time as high as the tolerance, each sorted by m/z, so that a step looks at the few rows near its goal only; a walk
+    ends at the first follower that is not accepted, since no later one can be.
+    """
+
+    FAR = 8.1
+
+    def __init__(self, base: float = 0.01, rt_tolerance: float = 0.06, charges: int = 4, most: int = 8) -> None:
+        self.base, self.rt_tolerance, self.charges, self.most = base, rt_tolerance, charges, most
+        self.height_of_cell = rt_tolerance * (1 + 1e-9) + 1e-12
+        self.mz, self.rt, self.height, self.id, self.free, self.cells = [], [], [], [], bytearray(), {}
+        self.next = self.offset = 0  # next monoisotopic row; number of rows that are gone
+
+    def feed(self, id, mz, rt, height) -> dict | None:
+        sound = np.isfinite(mz) & np.isfinite(rt)
+        start = self.offset + len(self.mz)
+        mz, rt = np.asarray(mz, float)[sound].tolist(), np.asarray(rt, float)[sound]
+        self.mz += mz
+        self.height += np.asarray(height, float)[sound].tolist()
+        self.id += np.asarray(id)[sound].tolist()
+        self.free += b"\1" * len(mz)
+        for k, (cell, m) in enumerate(zip(np.floor(rt / self.height_of_cell).astype(np.int64).tolist(), mz), start):
+            held = self.cells.get(cell)
+            if held is None:
+                held = self.cells[cell] = ([], [])
+            held[0].append(m)
+            held[1].append(k)
+        self.rt += rt.tolist()
+        return self.walk(False)
+
+    def finish(self) -> dict | None:
+        return self.walk(True)
+
+    def walk(self, last: bool) -> dict | None:
+        ids, monos, steps = [], [], []
+        end = self.offset + len(self.mz)
+        while self.next < end and (last or self.mz[self.next - self.offset] + self.FAR < self.mz[-1]):
+            k = self.next
+            self.next += 1
+            if self.free[k - self.offset] and not self.height[k - self.offset] <= 0:
+                for i, step in self.envelope(k):
+                    ids.append(self.id[i - self.offset])
+                    monos.append(self.id[k - self.offset])
+                    steps.append(step)
+        gone = self.next - self.offset
+        if gone > 20_000 and gone > len(self.mz) // 4:
+            floor = self.mz[gone] if gone < len(self.mz) else np.inf
+            for x in (self.mz, self.rt, self.height, self.id, self.free):
+                del x[:gone]
+            self.offset += gone
+            for cell in list(self.cells):
+                masses, places = self.cells[cell]
+                cut = bisect_left(masses, floor)
+                while cut and places[cut - 1] >= self.offset:
+                    cut -= 1
+                del masses[:cut], places[:cut]
+                if not masses:
+                    del self.cells[cell]
+        return {"id": ids, "mono": monos, "step": steps} if ids else None
+
+    def near(self, held: list, mono: int, goal: float, wide: float):
+        """Rows that may follow ``mono`` with m/z within about ``wide`` of ``goal``, in no order."""
+        offset, low, high = self.offset, goal - wide * (1 + 1e-9) - 1e-9, goal + wide * (1 + 1e-9) + 1e-9
+        mine, time, tolerance, free, rt = self.mz[mono - offset], self.rt[mono - offset], self.rt_tolerance, self.free, self.rt
+        far = mine + self.FAR
+        for masses, places in held:
+            for at in range(bisect_left(masses, low), len(masses)):
+                m = masses[at]
+                if m > high or m > far:
+                    break
+                i = places[at]
+                if m > mine and free[i - offset] and abs(rt[i - offset] - time) <= tolerance:
+                    yield m, i
+
+    def envelope(self, mono: int) -> list[tuple[int, int]]:
+        offset = self.offset
+        mine = self.mz[mono - offset]
+        wide = max(mine * self.base / 200, self.base)
+        cell = int(np.floor(self.rt[mono - offset] / self.height_of_cell))
+        held = [h for h in map(self.cells.get, (cell - 1, cell, cell + 1)) if h]
+        charge = 1
+        for k in range(self.charges, 0, -1):  # the first window that is not empty has the first follower
+            if any(abs(mine + CARBON / k - m) <= wide and not m > mine + CARBON + wide for m, _ in self.near(held, mono, mine + CARBON / k, wide)):
+                charge = k
+                break
+        focus, misses, out, before, carbons = mine, 0, [], self.height[mono - offset], max(1, int(mine / 14))
+        for step in range(1, self.most + 1):
+            goal = focus + CARBON / charge
+            best = None
+            for m, i in self.near(held, mono, goal, wide):
+                gap = abs(m - goal)
+                if gap <= wide and (best is None or (gap, i) < best):
+                    best = (gap, i)
+            if best is None:
+                focus, misses = goal, misses + 1
+                if misses == 2:
+                    break
+                continue
+            i = best[1]
+            focus, misses, height = self.mz[i - offset], 0, self.height[i - offset]
+            if mine <= 800:
+                fine = height < before
+            else:
+                alkane = (carbons - step + 1) / step * (0.0107 / 0.9893) if step <= carbons else 0.0
+                fine = before > 0 and abs(height / before - alkane) < 5
+            if not fine:
+                break
+            out.append((i, step))
+            before = height
+        if out:
+            self.free[mono - offset] = 0
+            for i, _ in out:
+                self.free[i - offset] = 0
+        return out
+
+
 def billionths(x: np.ndarray) -> np.ndarray:
     """Numbers of at least 0 as whole billionths, halves of their shortest decimal form rounded up."""
     scaled = x * 1e9

@@ -7,7 +7,6 @@ step looks at; so no placement can look beyond its block, and a block is no larg
 from __future__ import annotations
 
 from collections.abc import Callable
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -166,28 +165,11 @@ def near_blocks(features: DataFrame, keys: list[str], mz_tolerance: float, rt_to
     return graph.near_blocks(features, F.xxhash64(*keys, own), keys, "mz", "rt", mz_tolerance, rt_tolerance)
 
 
-def envelope_edges(features: DataFrame, base: float, rt_tolerance: float, charges: int = 4, most: int = 8) -> DataFrame:
-    """(a, b): pairs that a walk over an envelope may step between: 1 to ``most`` carbon steps of some charge apart, within the error that steps gather."""
-    from peakloom.kernels.clusters import CARBON
-
-    steps = {Fraction(n, k): n for k in range(1, charges + 1) for n in range(1, most + 1)}  # of equal steps the one of most error
-    goals = F.array(*[F.struct(F.lit(float(f) * CARBON).alias("step"), F.lit(n).alias("n")) for f, n in steps.items()])
-    light = features.select(F.xxhash64("sample", "id").alias("a"), F.col("sample").alias("sample_a"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.explode(goals).alias("g"))
-    light = light.select("a", "sample_a", "rt_a", (F.col("mz_a") + F.col("g.step")).alias("goal"), (F.greatest(F.col("mz_a") * base / 200, F.lit(base)) * F.col("g.n")).alias("wide"))
-    heavy = features.select(F.xxhash64("sample", "id").alias("b"), F.col("sample").alias("sample_b"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"))
-    pairs = box_join(heavy, light, [("mz_b", "goal", F.col("wide")), ("rt_b", "rt_a", rt_tolerance)], [("sample_a", "sample_b")], widths=[16 * base, 4 * rt_tolerance])
-    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def isotope_envelopes(features: DataFrame, base: float = 0.01, rt_tolerance: float = 0.06) -> DataFrame:
-    """(sample, id, mono, step) of the members of isotope envelopes; features are taken by blocks of possible steps at about the same time."""
-    from peakloom.kernels.clusters import isotope_envelopes as walk
-
-    def kernel(id, mz, rt, height):
-        return [{"id": int(id[i]), "mono": int(id[m]), "step": s} for i, m, s in walk(mz, rt, height, base, rt_tolerance)]
+    """(sample, id, mono, step) of the members of isotope envelopes; a sample is walked once from low to high m/z, holding the masses that a walk can reach."""
+    from peakloom.kernels.sweeps import EnvelopeWalk
 
-    rows = linked_blocks(features, F.xxhash64("sample", "id"), envelope_edges(features, base, rt_tolerance))
-    return map_groups(rows, ["sample", "block"], ["mz", "id"], ["id", "mz", "rt", "height"], kernel, "id long, mono long, step long").drop("block")
+    return stream_groups(features, ["sample"], ["mz", "id"], ["id", "mz", "rt", "height"], lambda: EnvelopeWalk(base, rt_tolerance), "id long, mono long, step long", ranged=True)
 
 
 def proximity_dedup(features: DataFrame, ppm: float = 20.0, rt_tolerance: float = 0.05) -> DataFrame:

@@ -85,3 +85,36 @@ def test_regions_meet_without_pairs(spark):
     out = merge_regions(rows, ["sample"], 0.2)
     assert "Join" not in plan(out)  # 12 million pairs linked them before
     assert [r.id for r in out.collect()] == [4999]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_envelopes(seed):
+    rng = np.random.default_rng(seed)
+    n = 500
+    mz = np.sort(np.round((900 if seed == 5 else 100) + rng.integers(0, 12, n) * clusters.CARBON / rng.integers(1, 5, n) + rng.integers(0, 3, n) * 0.004, 6))
+    rows = {"id": np.arange(n) + 7, "mz": mz, "rt": rng.integers(0, 40, n) / 100, "height": rng.integers(-1, 1000, n).astype(float)}
+    want = {(int(rows["id"][i]), int(rows["id"][m]), s) for i, m, s in clusters.isotope_envelopes(mz, rows["rt"], rows["height"], 0.005, 0.05)}
+    found = swept(sweeps.EnvelopeWalk(0.005, 0.05), rows, seed)
+    assert set(zip(*(found[c].tolist() for c in ("id", "mono", "step")))) == want and want
+
+
+def test_envelope_rows_that_are_gone():
+    """Far more rows than a walk reaches."""
+    rng = np.random.default_rng(9)
+    mz = np.sort(np.round(rng.uniform(100, 700, 50_000), 4))
+    rt, height = rng.integers(0, 200, len(mz)) / 100, rng.uniform(1, 9, len(mz))
+    group = sweeps.EnvelopeWalk(0.005, 0.05)
+    found = [f for k in range(0, len(mz), 5000) if (f := group.feed(np.arange(k, k + 5000), mz[k : k + 5000], rt[k : k + 5000], height[k : k + 5000]))]
+    assert len(group.mz) < len(mz) / 2
+    found += [f] if (f := group.finish()) else []
+    want = clusters.isotope_envelopes(mz, rt, height, 0.005, 0.05)
+    assert {t for f in found for t in zip(f["id"], f["mono"], f["step"])} == set(want)
+
+
+def test_envelopes_meet_without_pairs(spark):
+    from peakloom.operators.kernelled import isotope_envelopes
+
+    rows = spark.range(6).selectExpr("'s' AS sample", "id", "100 + id * 1.003355D AS mz", "1D AS rt", "double(10 - id) AS height")
+    out = isotope_envelopes(rows)
+    assert "Join" not in plan(out)
+    assert sorted((r.id, r.mono, r.step) for r in out.collect()) == [(i, 0, i) for i in range(1, 6)]
