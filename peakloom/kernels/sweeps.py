@@ -36,6 +36,84 @@ def joined(pieces: list[dict]) -> dict:
     return pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
 
 
+class SliceTwins:
+    """Ids of the peaks that stay when each slice is compared with the last one that kept any (``ions.slice_redundancy``); rows by (slice, apex)."""
+
+    def __init__(self, tolerance: float, cap: float) -> None:
+        self.tolerance, self.cap, self.open, self.before = tolerance, cap, [], None
+
+    def feed(self, **rows) -> dict | None:
+        out = []
+        slices = np.asarray(rows["slice"], float)
+        if np.isnan(slices).any():  # without a slice there is nothing to compare with
+            out.append(rows["id"][np.isnan(slices)])
+            rows, slices = rows_of(rows, ~np.isnan(slices)), slices[~np.isnan(slices)]
+        ends = [*(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+        begin = 0
+        for end in ends:
+            if begin == end:
+                continue
+            if self.open and self.open[-1]["slice"][-1] != slices[begin]:
+                out += self.close()
+            self.open.append(rows_of(rows, slice(begin, end)))
+            begin = end
+        return {"id": np.concatenate(out)} if out else None
+
+    def finish(self) -> dict | None:
+        out = self.close() if self.open else []
+        out += [self.before["id"]] if self.before is not None else []
+        return {"id": np.concatenate(out)} if out else None
+
+    def close(self) -> list[np.ndarray]:
+        """Take the slice that is complete; ids of the last one that are settled by it."""
+        now, self.open = joined(self.open), []
+        old = self.before
+        if old is None or not len(old["id"]):
+            self.before = now
+            return []
+        n, begin, alive = len(now["id"]), 0, np.ones(len(now["id"]), bool)
+        while begin < n and len(old["id"]):
+            some = rows_of(now, slice(begin, begin + 4096))
+            i, j, took = self.matches(some, old)
+            stays, dead, taller = bytearray(b"\1") * len(old["id"]), -1, (some["height"][i] > old["height"][j]).tolist()
+            for a, b, mine in zip(i.tolist(), j.tolist(), taller):
+                if a == dead or not stays[b]:
+                    continue
+                if mine:
+                    stays[b] = 0
+                else:
+                    dead = a
+                    alive[begin + a] = False
+            old = rows_of(old, np.frombuffer(stays, np.uint8) > 0)
+            begin += took
+        now = rows_of(now, alive)
+        if len(now["id"]):
+            self.before = now
+            return [old["id"]]
+        self.before = old
+        return []
+
+    def matches(self, some: dict, old: dict) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs that are alike, in order, of the first rows of ``some``, and how many those are."""
+        with np.errstate(invalid="ignore"):
+            sound = np.flatnonzero(np.isfinite(old["apex"]))
+            widths = (old["right"] - old["left"])[sound]
+            widest = np.max(widths[~np.isnan(widths)], initial=-np.inf)
+            half = np.minimum(np.nan_to_num((some["right"] - some["left"] + widest) / 4, nan=self.cap, posinf=self.cap, neginf=0.0), self.cap)
+            half = np.where(np.isfinite(some["apex"]), np.maximum(half, 0.0) * (1 + 1e-9) + np.abs(some["apex"]) * 1e-12 + 1e-12, -1.0)
+            ranked = old["apex"][sound]
+            low, high = np.searchsorted(ranked, some["apex"] - half, "left"), np.searchsorted(ranked, some["apex"] + half, "right")
+            high = np.where(half >= 0, high, low)
+            took = fitting(high - low)
+            i, j = spread(low[:took], high[:took])
+            j = sound[j]
+            apex_i, apex_j, left_i, left_j = some["apex"][i], old["apex"][j], some["left"][i], old["left"][j]
+            reach = np.minimum((some["right"][i] - left_i + old["right"][j] - left_j) / 4, self.cap)
+            alike = (np.abs(some["mz"][i] - old["mz"][j]) <= self.tolerance) & np.where(apex_j <= apex_i, left_i < apex_j, left_j < apex_i)
+            hit = alike & (np.abs(apex_i - apex_j) <= reach)
+        return i[hit], j[hit], took
+
+
 class Survivors:
     """Ids of the rows that stay when of any two that match, taken by the lighter and then the heavier one, the taller stays; rows by m/z.
 

@@ -79,13 +79,10 @@ def merge_regions(regions: DataFrame, keys: list[str], width: float, share: floa
 
 
 def drop_slice_twins(peaks: DataFrame, keys: list[str], tolerance: float, cap: float) -> DataFrame:
-    """Ids of peaks (id, slice, mz, left, right, apex, height) that are no weaker twin of one in the last slice kept."""
-    from peakloom.kernels.ions import slice_redundancy
+    """Ids of peaks (id, slice, mz, left, right, apex, height) that are no weaker twin of one in the last slice kept; two slices are held at a time."""
+    from peakloom.kernels.sweeps import SliceTwins
 
-    def kernel(id, slice, mz, left, right, apex, height):
-        return [{"id": int(i)} for i in id[slice_redundancy(slice, mz, apex, left, right, height, tolerance, cap)]]
-
-    return map_groups(peaks, keys, ["slice", "apex", "id"], ["id", "slice", "mz", "left", "right", "apex", "height"], kernel, "id long")
+    return stream_groups(peaks, keys, ["slice", "apex", "id"], ["id", "slice", "mz", "left", "right", "apex", "height"], lambda: SliceTwins(tolerance, cap), "id long", ranged=True)
 
 
 def running_mean_eics(points: DataFrame, keys: list[str], channel: str, tolerance: float = 0.02, least_intensity: float = 10.0, least_scans: int = 3, ppm: float = 100.0) -> DataFrame:

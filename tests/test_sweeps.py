@@ -118,3 +118,28 @@ def test_envelopes_meet_without_pairs(spark):
     out = isotope_envelopes(rows)
     assert "Join" not in plan(out)
     assert sorted((r.id, r.mono, r.step) for r in out.collect()) == [(i, 0, i) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slice_twins(seed, monkeypatch):
+    monkeypatch.setattr(sweeps, "PAIRS", 40)
+    rng = np.random.default_rng(seed)
+    n = 500
+    apex, half = rng.integers(0, 300, n) / 100, rng.integers(0, 7, n) / 20
+    place = np.lexsort((np.arange(n), apex, slices := np.sort(rng.integers(0, 30, n))))
+    rows = {"id": np.arange(n), "slice": slices, "mz": slices / 10 + rng.uniform(0, 0.1, n), "left": apex - half, "right": apex + half, "apex": apex, "height": rng.integers(0, 90, n).astype(float)}
+    rows = {c: v[place] for c, v in rows.items()}
+    keep = ions.slice_redundancy(*(rows[c] for c in ("slice", "mz", "apex", "left", "right", "height")), 0.2, 1.0)
+    found = swept(sweeps.SliceTwins(0.2, 1.0), rows, seed)["id"].tolist()
+    assert sorted(found) == sorted(rows["id"][keep].tolist()) and len(found) < n
+
+
+def test_slice_twins_of_large_slices():
+    n = 6000
+    apex = np.sort(np.random.default_rng(1).uniform(0, 24, 2 * n).reshape(2, n), axis=1).reshape(-1)
+    rows = {"id": np.arange(2 * n), "slice": np.repeat([0, 1], n), "mz": np.full(2 * n, 5.0), "left": apex - 0.001, "right": apex + 0.001, "apex": apex, "height": np.ones(2 * n)}
+    begin = time.monotonic()
+    group = sweeps.SliceTwins(0.2, 1.0)
+    group.feed(**rows)
+    found = group.finish()
+    assert len(found["id"]) < 2 * n and time.monotonic() - begin < 5  # 36 million pairs one by one before
