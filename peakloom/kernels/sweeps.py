@@ -331,6 +331,65 @@ class EnvelopeWalk:
         return out
 
 
+class RunningMean:
+    """Chromatograms of running-mean bins (``bins.running_mean_bins`` and ``binned_maxima``): mz, scan and intensity; rows by m/z.
+
+    A bin is told once a point above the next one has come.
+    """
+
+    def __init__(self, tolerance: float, least_intensity: float, least_scans: int, ppm: float) -> None:
+        self.tolerance, self.least_intensity, self.least_scans, self.ppm = tolerance, least_intensity, least_scans, ppm
+        self.wide, self.moment, self.weight = None, 0.0, 0.0
+        self.bins: list[float] = []  # closed ones that points may still meet
+        self.wait: list[dict] = []
+        self.met: list[dict] = []  # points of those bins: bin (m/z), scan, intensity
+
+    def feed(self, mz, scan, intensity, channel_mz) -> dict | None:
+        if self.wide is None:
+            self.wide = max(self.tolerance, float(channel_mz[0]) * self.ppm * 1e-6)
+        sound = ~np.isnan(mz)
+        rows = {"mz": mz[sound], "scan": scan[sound], "intensity": intensity[sound]}
+        strong = rows["intensity"] >= self.least_intensity
+        closed, moment, weight, wide = len(self.bins), self.moment, self.weight, self.wide
+        for v, w in zip(rows["mz"][strong].tolist(), np.maximum(rows["intensity"][strong], 1e-12).tolist()):
+            if weight and v - moment / weight > wide:
+                self.bins.append(moment / weight)
+                moment = weight = 0.0
+            moment += v * w
+            weight += w
+        self.moment, self.weight = moment, weight
+        self.wait.append(rows)
+        return self.tell(False) if len(self.bins) > closed else None
+
+    def finish(self) -> dict | None:
+        if self.weight:
+            self.bins.append(self.moment / self.weight)
+        return self.tell(True) if self.bins else None
+
+    def tell(self, last: bool) -> dict | None:
+        rows = joined(self.wait)
+        bins = np.array(self.bins)
+        ripe = np.ones(len(rows["mz"]), bool) if last else rows["mz"] <= bins[-1]
+        self.wait = [rows_of(rows, ~ripe)]
+        rows = rows_of(rows, ripe & (rows["intensity"] > 0))
+        above = np.minimum(np.searchsorted(bins, rows["mz"]), len(bins) - 1)
+        for place in (above, np.maximum(above - 1, 0)):
+            near = np.abs(rows["mz"] - bins[place]) <= self.wide
+            self.met.append({"bin": bins[place][near], "scan": rows["scan"][near], "intensity": rows["intensity"][near]})
+        met = joined(self.met)
+        order = np.lexsort((-met["intensity"], met["scan"], met["bin"]))
+        met = rows_of(met, order)
+        if len(order):
+            first = np.r_[True, (met["bin"][1:] != met["bin"][:-1]) | (met["scan"][1:] != met["scan"][:-1])]
+            met = rows_of(met, first)
+        done = np.ones(len(met["bin"]), bool) if last else met["bin"] < bins[-1]
+        self.met, self.bins = [rows_of(met, ~done)], self.bins[-1:]
+        met = rows_of(met, done)
+        _, place, n = np.unique(met["bin"], return_inverse=True, return_counts=True)
+        met = rows_of(met, n[place.reshape(-1)] >= self.least_scans) if len(n) else met
+        return {"mz": met["bin"], "scan": met["scan"], "intensity": met["intensity"]}
+
+
 def billionths(x: np.ndarray) -> np.ndarray:
     """Numbers of at least 0 as whole billionths, halves of their shortest decimal form rounded up."""
     scaled = x * 1e9

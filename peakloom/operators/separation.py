@@ -91,22 +91,11 @@ def running_mean_eics(points: DataFrame, keys: list[str], channel: str, toleranc
     A group is the centroids of one channel of one run. Bins are made of points of at least ``least_intensity`` and as wide as ``tolerance`` or
     ``ppm`` of the channel, whichever is more; bins with signal in fewer than ``least_scans`` scans are left out.
     """
-    from peakloom.kernels.bins import binned_maxima, running_mean_bins
-
-    def kernel(mz, scan, intensity, __channel):
-        wide = max(tolerance, float(__channel[0]) * ppm * 1e-6)
-        strong = intensity >= least_intensity
-        bins = running_mean_bins(mz[strong], intensity[strong], wide)
-        if not len(bins):
-            return []
-        place, at, value = binned_maxima(bins, mz, scan, intensity, wide)
-        held = value > 0
-        place, at, value = place[held], at[held], value[held]
-        enough = np.bincount(place, minlength=len(bins)) >= least_scans
-        return [{"mz": float(bins[p]), "scan": int(s), "intensity": float(v)} for p, s, v in zip(place, at, value) if enough[p]]
-
-    rows = points.withColumn("__channel", F.col(channel).cast("double"))
-    return map_groups(rows, keys, ["mz", "scan", "intensity"], ["mz", "scan", "intensity", "__channel"], kernel, "mz double, scan long, intensity double")
+    from peakloom.kernels.sweeps import RunningMean
+
+    rows = points.withColumn("channel_mz", F.col(channel).cast("double"))
+    start = lambda: RunningMean(tolerance, least_intensity, least_scans, ppm)
+    return stream_groups(rows, keys, ["mz", "scan", "intensity"], ["mz", "scan", "intensity", "channel_mz"], start, "mz double, scan long, intensity double")
 
 
 def recall_ions(series: DataFrame, clusters: DataFrame, keys: list[str], channel: str, **options) -> DataFrame:

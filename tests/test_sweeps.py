@@ -143,3 +143,29 @@ def test_slice_twins_of_large_slices():
     group.feed(**rows)
     found = group.finish()
     assert len(found["id"]) < 2 * n and time.monotonic() - begin < 5  # 36 million pairs one by one before
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_running_mean_bins(seed):
+    from peakloom.kernels.bins import binned_maxima, running_mean_bins
+
+    rng = np.random.default_rng(seed)
+    n = 600
+    rows = {"mz": rng.uniform(100, 103, n), "scan": rng.integers(0, 12, n), "intensity": rng.integers(0, 30, n).astype(float)}
+    order = np.lexsort((rows["intensity"], rows["scan"], rows["mz"]))
+    mz, scan, intensity = (v[order] for v in rows.values())
+    bins = running_mean_bins(mz[intensity >= 10], intensity[intensity >= 10], 0.02)
+    place, at, value = binned_maxima(bins, mz, scan, intensity, 0.02)
+    place, at, value = place[value > 0], at[value > 0], value[value > 0]
+    enough = np.bincount(place, minlength=len(bins)) >= 3
+    want = {(bins[p], s, v) for p, s, v in zip(place.tolist(), at.tolist(), value.tolist()) if enough[p]}
+    group = sweeps.RunningMean(0.02, 10.0, 3, 100.0)
+    found = swept(group, {"mz": mz, "scan": scan, "intensity": intensity, "channel_mz": np.full(n, 100.0)}, seed)
+    assert set(zip(*(found[c].tolist() for c in ("mz", "scan", "intensity")))) == want and want
+
+
+def test_running_mean_holds_the_open_bins_only():
+    group = sweeps.RunningMean(0.02, 10.0, 3, 100.0)
+    for k in range(200):
+        group.feed(np.full(1000, 100 + k * 0.1), np.arange(1000), np.full(1000, 20.0), np.full(1000, 100.0))
+        assert sum(len(x["mz"]) for x in group.wait) + sum(len(x["bin"]) for x in group.met) <= 5000
