@@ -169,3 +169,31 @@ def test_running_mean_holds_the_open_bins_only():
     for k in range(200):
         group.feed(np.full(1000, 100 + k * 0.1), np.arange(1000), np.full(1000, 20.0), np.full(1000, 100.0))
         assert sum(len(x["mz"]) for x in group.wait) + sum(len(x["bin"]) for x in group.met) <= 5000
+
+
+def test_groups_reach_python_row_by_row(spark):
+    from peakloom.operators.kernelled import map_groups
+
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 < 2 THEN id % 3 END AS k", "CASE WHEN id % 5 > 0 THEN 'x' END AS n", "id")
+    out = map_groups(rows, ["k", "n"], ["id"], ["id"], lambda id: [{"first": int(id[0]), "size": len(id)}], "first long, size long")
+    assert "collect_list" not in plan(out)  # a group was one row of the JVM, and a batch of groups one table of Python
+    found = {(r.k, r.n): (r.first, r.size) for r in out.collect()}
+    assert found == {(0, None): (0, 2000), (1, None): (10, 2000), (None, None): (5, 2000), (0, "x"): (3, 8000), (1, "x"): (1, 8000), (None, "x"): (2, 8000)}
+
+
+def naive_groups(values, tolerance):
+    out, begin = np.zeros(len(values), np.int64), 0
+    for i in range(1, len(values)):
+        if values[i] - np.median(values[begin:i]) > tolerance:
+            begin = i
+            out[i:] += 1
+    return out
+
+
+def test_running_medians_of_many_equal_times():
+    rng = np.random.default_rng(3)
+    for values in (np.sort(rng.uniform(0, 5, 300)), np.sort(rng.integers(0, 50, 300) / 10), np.array([np.nan, 1.0, 9.0]), np.array([1.0, 9.0, np.nan, np.nan])):
+        assert clusters.running_median_groups(values, 0.3).tolist() == naive_groups(values, 0.3).tolist()
+    begin = time.monotonic()
+    assert not clusters.running_median_groups(np.ones(100_000), 0.1).any()
+    assert time.monotonic() - begin < 5
