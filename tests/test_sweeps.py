@@ -197,3 +197,16 @@ def test_running_medians_of_many_equal_times():
     begin = time.monotonic()
     assert not clusters.running_median_groups(np.ones(100_000), 0.1).any()
     assert time.monotonic() - begin < 5
+
+
+def test_clusters_of_many_equal_times():
+    n = 20_000
+    begin = time.monotonic()
+    found = clusters.cluster_by_rt(np.ones(n), np.zeros(n), np.full(n, 2.0), np.arange(n) / 10, np.ones(n))
+    assert not found.any() and time.monotonic() - begin < 5
+
+
+def test_clusters_of_missing_bounds():
+    at = np.array([1.0, 1.01, 1.03, 1.2, np.nan])
+    lost = np.array([np.nan, 1.0, 1.0, 1.0, 1.0])
+    assert clusters.cluster_by_rt(at, lost, at + 0.01, np.arange(5.0), np.ones(5)).tolist() == [0, 0, 1, 2, 3]
