@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.operators.kernelled import map_groups, stream_groups
-from peakloom.plans.bands import box_join
-from peakloom.plans.graph import linked_blocks
 
 
 def matrix(ion: np.ndarray, scan: np.ndarray, intensity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
