@@ -38,6 +38,16 @@ def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return pairs.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def spread_out(rows: DataFrame, keys: list[str], least: int = 4_000_000) -> DataFrame:
+    """Rows by hash of the keys, in as many parts as the plan's size has ``least`` bytes, where that is more than there are cores.
+
+    Windows over the keys then sort parts of a bounded size, which Spark does not coalesce; each further one on them is in the same parts.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(-(-size // least), 20_000)
+    return rows.repartition(parts, *keys) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def islands(rows: DataFrame, groups: list[str], order: list[str], gap: float, name: str = "island") -> DataFrame:
     """Number the runs of each group whose neighbours in ``order[0]`` are at most ``gap`` apart, from 0.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peakloom.operators import library as L
 from peakloom.operators import spectra as S
+from peakloom.plans.bands import spread_out
 from peakloom.queries.base import library, query, spectra
 from peakloom.session import table
 
@@ -14,7 +15,7 @@ from peakloom.session import table
 def precursors(spark, sf_dir):
     """Spectra with a precursor from their order."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spec_id"), (F.col("o_totalprice") / 1000).alias("precursor"))
-    return spectra(spark, sf_dir).join(t, "spec_id")
+    return spread_out(spectra(spark, sf_dir), ["spec_id"]).join(t, "spec_id")
 
 
 _PRE = "pre AS (SELECT s.spec_id, mz, intensity, o_totalprice / 1000 AS precursor FROM spectra s JOIN orders ON o_orderkey = s.spec_id)"
