@@ -25,3 +25,13 @@ def test_records_come_as_columns(spark, tmp_path):
     assert rows.count() == 25_000
     last = rows.where("name = 'n24999'").first()
     assert (last.precursor_mz, last.metadata, [tuple(p) for p in last.peaks]) == (100.5, {"other": "24999"}, [(50.25 + k, float(k)) for k in range(4)])
+
+
+def test_peaks_are_printed_by_batch(spark):
+    from peakloom.operators.spectra import joined
+
+    lists = [[(100.123456, 12.25), (0.5, -0.0)], [], None, [(None, 1.0), (2.0, 3.0)], [(1.0, float("inf"))]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, peaks array<struct<mz:double,intensity:double>>")
+    told = rows.select("i", joined(rows.peaks, "%.5f %.1f", "|").alias("t"))
+    assert "ArrowEvalPython" in told._jdf.queryExecution().optimizedPlan().toString()  # number by number in lambdas before
+    assert [r.t for r in told.orderBy("i").collect()] == ["100.12346 12.2|0.50000 0.0", "", None, "2.00000 3.0", "1.00000 Infinity"]
