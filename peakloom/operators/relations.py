@@ -57,16 +57,28 @@ def pair_edges(features: DataFrame, mz_tolerance: float, rt_tolerance: float, **
 
 def gap_class(delta: Column, classic: float = 0.01, relaxed: float = 0.02, most: int = 4) -> Column:
     """classic for an element's isotope step (carbon up to ``most`` steps), relaxed for a whole number, else null."""
-    steps = [n * ISOTOPES[0][1] for n in range(1, most + 1)] + [d for _, d in ISOTOPES[1:]]
-    near = lambda xs, tol: F.exists(F.array(*[F.lit(float(x)) for x in xs]), lambda x: F.abs(delta - x) <= tol)
-    return F.when(near(steps, classic), "classic").when(near(range(1, most + 1), relaxed), "relaxed")
+    near = lambda xs, tol: F.least(*[F.abs(delta - float(x)) for x in xs]) <= tol
+    return F.when(near(isotope_steps(most), classic), "classic").when(near(range(1, most + 1), relaxed), "relaxed")
+
+
+def isotope_steps(most: int = 4) -> list[float]:
+    return [n * ISOTOPES[0][1] for n in range(1, most + 1)] + [d for _, d in ISOTOPES[1:]]
 
 
 def nearest_step(delta: Column, most: int = 4) -> Column:
     """The isotope step nearest to a difference, the earlier one on ties."""
-    steps = [n * ISOTOPES[0][1] for n in range(1, most + 1)] + [d for _, d in ISOTOPES[1:]]
-    order = F.array_sort(F.array(*[F.struct(F.abs(delta - float(s)).alias("d"), F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(steps)]))
-    return order[0]["s"]
+    steps = [float(s) for s in isotope_steps(most)]
+    nearest = F.least(*[F.abs(delta - s) for s in steps])
+    return F.coalesce(*[F.when(F.abs(delta - s) == nearest, s) for s in steps])
+
+
+def isotope_pairs(features: DataFrame, least: float, most: float, rt_tolerance: float) -> DataFrame:
+    """(a, b, gap, step) of all pairs of one sample whose b is ``least`` to ``most`` above a in m/z, at about the same time."""
+    rows = features.select("id", "sample", "mz", "rt", (F.col("mz") + (least + most) / 2).alias("goal"))
+    delta = F.col("mz_b") - F.col("mz_a")
+    bands = [("goal_a", "mz_b", (most - least) * 0.55), ("rt_a", "rt_b", rt_tolerance)]  # a tenth beyond, as the test is on the difference
+    pairs = class_pairs(rows, "id", bands, ["sample"], {"gap": gap_class(delta), "step": nearest_step(delta)}, delta.between(least, most))
+    return pairs.where("id_a != id_b").withColumnsRenamed({"id_a": "a", "id_b": "b"})
 
 
 def carbon_ratio_limit(mz: Column) -> Column:

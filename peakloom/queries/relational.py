@@ -101,14 +101,7 @@ def _(spark, sf_dir):
 @query("sc16_isotope_steps", f"""SELECT a.id AS a, b.id AS b, {_CLASS} AS gap, {_STEPS}[list_position(list_transform({_STEPS}, lambda s: abs({_DELTA} - s)), list_min(list_transform({_STEPS}, lambda s: abs({_DELTA} - s))))] AS step
     FROM features a JOIN features b ON a.sample = b.sample AND b.mz - a.mz BETWEEN 0.9e0 AND 1.1e0 AND abs(a.rt - b.rt) <= 1e0 AND a.id <> b.id""", "features")
 def _(spark, sf_dir):
-    from peakloom.plans.bands import band_join
-
-    f = features(spark, sf_dir)
-    left = f.select(F.col("id").alias("a"), "sample", "mz", "rt", (F.col("mz") + 1).alias("goal"))
-    right = f.select(F.col("id").alias("b"), F.col("sample").alias("s2"), F.col("mz").alias("mz2"), F.col("rt").alias("rt2"))
-    pairs = band_join(left, right, "goal", "mz2", 0.11, [("sample", "s2")]).where("a != b AND abs(rt - rt2) <= 1 AND mz2 - mz BETWEEN 0.9D AND 1.1D")
-    delta = F.col("mz2") - F.col("mz")
-    return pairs.select("a", "b", R.gap_class(delta).alias("gap"), R.nearest_step(delta).alias("step"))
+    return R.isotope_pairs(features(spark, sf_dir), 0.9, 1.1, 1.0)
 
 
 @query("sc15_overlap_ratio", f"""WITH {_EDGES}, w AS (SELECT id, rt - height % 7 / 10 AS l, rt + height % 5 / 10 AS r FROM features)
